@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
 from .packing import pack
+from .spans import shared_spans
 from .tokens import count_tokens, encode_corpus
 
 
@@ -19,8 +20,12 @@ def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(count_tokens(table(spark, folder, "documents", "doc_id", "text")))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p7_packing": p7_packing}
+    return {"p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
