@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
+from .neighbours import neighbour_pairs
 from .packing import pack
 from .spans import shared_spans
 from .tokens import count_tokens, encode_corpus
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbour_pairs(table(spark, folder, "items", "item_id", "embedding"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -25,7 +30,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
