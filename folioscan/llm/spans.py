@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from ..lineage import cut
 #: Code points that are worked on at once; bounds a worker's memory, not a text's length.
 BATCH_POINTS = 1_000_000
 _POSITION_BITS = 24
+#: Different contexts of a leader that are judged within one task; leaders with more are spread over all.
+GROUP_CONTEXTS = 5_000
 #: Base of the rolling hash: odd, and 3 modulo 8, so that differences of its powers keep most bits.
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 
@@ -111,45 +114,42 @@ def _pieces(texts: list[str | None], least: int) -> Iterator[Points]:
         yield Points(held)
 
 
-def _windows(p: Points, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The places where windows begin, the hashes of the shortest level, and each window's leader there."""
-    quarter = least // 4
-    grams = p.grams(quarter)
-    leader = p.leaders(grams, least - quarter + 1)
-    begins = np.flatnonzero(p.whole(least)[: len(leader)])
-    return begins, grams, leader[begins]
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _leaders(p: Points, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places where windows begin, the hashes of stretches of half the length, each window's leader."""
+    grams = p.grams(least // 2)
+    leader = p.leaders(grams, least - least // 2 + 1)
+    begins = np.flatnonzero(p.whole(least)[: len(leader)])
+    return begins, grams, leader[begins]
+
+
 def _first_level(least: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ids = part.column(0)
             for p in _pieces(part.column(1).to_pylist(), least):
-                begins, grams, leader = _windows(p, least)
+                _, grams, leader = _leaders(p, least)
                 leader = leader[np.flatnonzero(np.diff(leader, prepend=-1))]
-                row = p.row[p.piece[leader]]
-                by = np.lexsort((grams[leader], row))
-                row, gram = row[by], grams[leader][by]
+                row, gram = p.row[p.piece[leader]], grams[leader]
+                by = np.lexsort((gram, row))
+                row, gram = row[by], gram[by]
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[new])), _signed(gram[new])], names=["doc", "gram"])
+                yield pa.RecordBatch.from_arrays([_signed(gram[new]), ids.take(pa.array(row[new]))], names=["gram", "doc"])
 
     return run
 
 
 def _second_level(least: int):
-    half = least // 2
-
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            ids, known = part.column(0), part.column(2)
-            sets = [np.sort(np.asarray(k, np.int64)).view(np.int64) for k in (known[i].values.to_numpy(zero_copy_only=False) for i in range(len(known)))]
-            for p in _pieces(part.column(1).to_pylist(), least):
-                begins, grams, leader = _windows(p, least)
+            ids, known, texts = part.column(0), part.column(2), part.column(1).to_pylist()
+            sets = [np.asarray(known[i].values.to_numpy(zero_copy_only=False), np.int64) for i in range(len(known))]
+            for p in _pieces(texts, least):
+                begins, grams, leader = _leaders(p, least)
                 runs = np.flatnonzero(np.diff(leader, prepend=-1))
                 heads = leader[runs]
                 row, gram = p.row[p.piece[heads]], grams[heads].view(np.int64)
@@ -157,38 +157,87 @@ def _second_level(least: int):
                 edges = np.flatnonzero(np.diff(row, prepend=-1, append=-1)) if len(row) else row
                 for a, b in zip(edges[:-1], edges[1:]):
                     good[a:b] = np.isin(gram[a:b], sets[row[a]])
-                begins = begins[np.repeat(good, np.diff(np.append(runs, len(leader))))]
-                if not len(begins):
+                if not good.any():
                     continue
-                grams = p.grams(half)
-                leader = p.leaders(grams, least - half + 1)[begins]
-                runs = np.flatnonzero(np.diff(leader, prepend=-1))
                 first, last = begins[runs], begins[np.append(runs[1:], len(begins)) - 1]
-                head = leader[runs]
+                first, last, head = first[good], last[good], heads[good]
                 context = p.stretch(first, last + least)
                 context = _mix(context + (head - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
                 piece = p.piece[first]
+                at = first - p.start[piece] + p.offset[piece]
+                n = (last - first + 1).astype(np.int32)
+                text = [texts[r][i : i + m + least - 1] for r, i, m in zip(p.row[piece].tolist(), at.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(p.row[piece])), _signed(grams[head]), _signed(context), pa.array(first - p.start[piece] + p.offset[piece]), pa.array((last - first + 1).astype(np.int32))],
-                    names=["doc", "gram", "context", "start", "n"],
+                    [ids.take(pa.array(p.row[piece])), _signed(grams[head]), _signed(context), pa.array(at), pa.array(n), pa.array(text, pa.string())],
+                    names=["doc", "gram", "context", "start", "n", "words"],
                 )
 
     return run
 
 
-def _third_level(least: int):
+def _unfold(words: list[str], n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offset, hash) of every window of the contexts, context after context."""
+    p = Points([(i, 0, t) for i, t in enumerate(words)])
+    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    begin = np.repeat(p.start, n) + off
+    return off, p.stretch(begin, begin + least)
+
+
+def _in_groups(least: int):
+    """Contexts in the order of their leaders: which of their windows occur under another id."""
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf["n"].to_numpy(np.int64)
+        _, codes = np.unique(pd.concat([pdf["a"], pdf["b"]]).to_numpy(), return_inverse=True)
+        a, b = codes[: len(pdf)], codes[len(pdf) :]
+        off, h = _unfold(pdf["words"].tolist(), n, least)
+        row = np.repeat(np.arange(len(pdf)), n)
+        h = h + np.repeat(_mix(pdf["gram"].to_numpy(np.int64).view(np.uint64)), n)
+        by = np.argsort(h, kind="stable")
+        begin = np.flatnonzero(np.diff(h[by], prepend=h[by][:1] + np.uint64(1)))
+        shared = np.minimum.reduceat(a[row[by]], begin) < np.maximum.reduceat(b[row[by]], begin)
+        hit = np.zeros(len(h), bool)
+        hit[by] = np.repeat(shared, np.diff(np.append(begin, len(h))))
+        hit &= (a == b)[row]
+        edge = np.diff(np.where(hit, row, -1), prepend=-1, append=-1)
+        starts = np.flatnonzero(hit & (edge[:-1] != 0))
+        ends = np.flatnonzero(hit & (edge[1:] != 0)) + 1
+        return pd.DataFrame({"gram": pdf["gram"].to_numpy()[row[starts]], "context": pdf["context"].to_numpy()[row[starts]], "from": off[starts].astype(np.int32), "to": (off[ends - 1] + 1).astype(np.int32)})
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for part in parts:
+            last = part["gram"].iloc[-1]
+            if part["gram"].iloc[0] == last and held:
+                held.append(part)
+                continue
+            done = part[part["gram"] != last]
+            if held or len(done):
+                whole = pd.concat([*held, done], ignore_index=True)
+                rest = whole[whole["gram"] == last]
+                whole = whole[whole["gram"] != last]
+                held = [rest] if len(rest) else []
+                if len(whole):
+                    yield judge(whole)
+            held.append(part[part["gram"] == last])
+        if held:
+            yield judge(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def _apart(least: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts, wanted = part.column(0).to_pylist(), part.column(1).to_pylist()
-            places = [(text[w["start"] : w["start"] + w["n"] + least - 1], w["context"], w["n"]) for text, ws in zip(texts, wanted) for w in ws]
-            for at in range(0, len(places), 4000):
-                some = places[at : at + 4000]
-                p = Points([(i, 0, t) for i, (t, _, _) in enumerate(some)])
-                n = np.array([x for _, _, x in some], np.int64)
-                off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                begin = np.repeat(p.start, n) + off
-                context = np.repeat(np.array([c for _, c, _ in some], np.int64), n)
-                yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(off.astype(np.int32)), _signed(p.stretch(begin, begin + least))], names=["context", "off", "window"])
+            for at in range(0, part.num_rows, 4000):
+                some = part.slice(at, 4000)
+                n = some.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                off, h = _unfold(some.column(3).to_pylist(), n, least)
+                take = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).take(take), some.column(1).take(take), pa.array(off.astype(np.int32)), _signed(h), some.column(4).take(take), some.column(5).take(take)],
+                    names=["gram", "context", "off", "window", "a", "b"],
+                )
 
     return run
 
@@ -207,13 +256,16 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stretch of ``least`` or more characters which appears verbatim under another id.
 
     Method: level-wise doubling.  Every window of ``least`` characters is led by one of
-    its stretches of a quarter of that length (the one with the least hash); windows
-    whose leader occurs under one id alone are out.  The rest are led by a stretch of
-    half the length, and again those led by an unrepeated one are out.  What is left is
-    compared at full length, first by whole contexts (all windows under one leader),
-    and window by window only where a leader has several contexts.  Groups are only
-    ever reduced to their least and greatest id, before the shuffle and after, so text
-    held by a third of all rows costs no more than other text; no pairs are formed.
+    its stretches of half that length (the one with the least hash).  Leaders that
+    occur under one id alone are out, and their windows with them; only windows with a
+    repeated leader are extended to the full length.  There they are compared by whole
+    contexts (all neighbouring windows under one leader) first, and window by window
+    where one leader has several contexts.
+
+    Groups are reduced to their least and greatest id before the shuffle and after, so
+    text held by a third of all rows costs no more than other text, and no pairs are
+    formed.  Leaders with more than GROUP_CONTEXTS different contexts are judged window by
+    window across all tasks, the others within a task; both ways are exact.
 
     Stretches are compared by 64-bit hashes.
 
@@ -221,41 +273,40 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left out; rows of the same id are one document and don't share with each other;
     a document without shared characters has no row.  Texts are taken whole.
     """
-    if least % 4 or least < 8:
-        raise ValueError("least must be a multiple of 4, at least 8")
+    if least % 2 or least < 4:
+        raise ValueError("least must be even, at least 4")
     kind = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= least))
 
-    def schema(*fields: tuple[str, T.DataType]) -> T.StructType:
-        return T.StructType([T.StructField(n, t) for n, t in fields])
+    def schema(**fields: T.DataType) -> T.StructType:
+        return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
     long, integer = T.LongType(), T.IntegerType()
-    # a quarter of the length
-    grams = texts.mapInArrow(_first_level(least), schema(("doc", kind), ("gram", long)))
-    repeated = grams.groupBy("gram").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).filter("_a < _b").select("gram")
-    known = grams.join(repeated, "gram").groupBy("doc").agg(F.collect_set("gram").alias("grams"))
-    suspects = cut(texts.join(known, "doc"), "suspects")
-    # half of it
-    led = cut(suspects.mapInArrow(_second_level(least), schema(("doc", kind), ("gram", long), ("context", long), ("start", long), ("n", integer))), "led")
-    contexts = led.groupBy("gram", "context").agg(F.min(F.struct("doc", "start", "n")).alias("one"), F.max("doc").alias("b"))
-    contexts = contexts.select("gram", "context", "one", F.col("one.doc").alias("a"), "b")
-    leaders = (
-        contexts.groupBy("gram").agg(F.min("a").alias("_a"), F.max("b").alias("_b"), F.min("context").alias("_c"), F.max("context").alias("_d"))
-        .filter("_a < _b").select("gram", (F.col("_c") < F.col("_d")).alias("several"))
-    )
-    contexts = cut(contexts.join(leaders, "gram"), "contexts")
-    # the whole length: contexts as such, then window by window
+    # half the length
+    grams = texts.mapInArrow(_first_level(least), schema(gram=long, doc=kind))
+    repeated = cut(grams.groupBy("gram").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).filter("_a < _b").select("gram"), "leaders")
+    known = grams.join(repeated, "gram").groupBy("doc").agg(F.collect_list("gram").alias("grams"))
+    led = texts.join(known, "doc").mapInArrow(_second_level(least), schema(doc=kind, gram=long, context=long, start=long, n=integer, words=T.StringType()))
+    led = cut(led, "led")
+    # the whole length: contexts as such
+    contexts = led.groupBy("gram", "context").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.any_value("n").alias("n"))
+    leaders = contexts.groupBy("gram").agg(F.count("*").alias("contexts")).filter("contexts > 1")
     whole = contexts.filter("a < b").select("gram", "context")
-    open_ = contexts.filter("several").select("context", "one", "a", "b")
-    asked = open_.groupBy(F.col("one.doc").alias("doc")).agg(F.collect_list(F.struct("context", "one.start", "one.n")).alias("places"))
-    windows = suspects.select("doc", "text").join(asked, "doc").select("text", "places").mapInArrow(_third_level(least), schema(("context", long), ("off", integer), ("window", long)))
-    windows = cut(windows.join(open_.select("context", "a", "b"), "context"), "windows")
-    again = windows.groupBy("window").agg(F.min("a").alias("_a"), F.max("b").alias("_b")).filter("_a < _b").select("window")
-    parts = windows.filter("a = b").join(again, "window").select("context", F.col("off").alias("from"), (F.col("off") + 1).alias("to"))
-    parts = _islands(parts, ["context"], "from", "to")
+    # and window by window, where a leader has several
+    open_ = cut(
+        led.groupBy("gram", "context").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.any_value("n").alias("n"), F.any_value("words").alias("words")).join(leaders, "gram")
+        .select("gram", "context", "n", "words", "a", "b", "contexts"), "contexts")
+    parts = (
+        open_.filter(F.col("contexts") <= GROUP_CONTEXTS).drop("contexts").repartition("gram").sortWithinPartitions("gram")
+        .mapInPandas(_in_groups(least), T.StructType([T.StructField("gram", long), T.StructField("context", long), T.StructField("from", integer), T.StructField("to", integer)]))
+    )
+    windows = open_.filter(F.col("contexts") > GROUP_CONTEXTS).drop("contexts").mapInArrow(_apart(least), schema(gram=long, context=long, off=integer, window=long, a=kind, b=kind))
+    again = windows.groupBy("gram", "window").agg(F.min("a").alias("_a"), F.max("b").alias("_b")).filter("_a < _b").select("gram", "window")
+    hits = windows.filter("a = b").join(again, ["gram", "window"]).select("gram", "context", F.col("off").alias("from"), (F.col("off") + 1).alias("to"))
+    parts = parts.unionByName(_islands(hits, ["gram", "context"], "from", "to"))
     spans = (
         led.join(whole, ["gram", "context"], "left_semi").select("doc", F.col("start"), (F.col("start") + F.col("n") - 1 + least).alias("end"))
-        .unionByName(led.join(parts, "context").select("doc", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") - 1 + least).alias("end")))
+        .unionByName(led.join(parts, ["gram", "context"]).select("doc", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") - 1 + least).alias("end")))
     )
     return _islands(spans, ["doc"], "start", "end").select(F.col("doc").alias(id_col), F.col("start").alias("span_start"), (F.col("end") - F.col("start")).alias("span_chars"))
 
