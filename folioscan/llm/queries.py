@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..tables import table
+from .canonical import map_to_canonical
 from .neighbours import neighbour_pairs
 from .packing import pack
 from .spans import shared_spans
@@ -17,6 +20,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_pairs(table(spark, folder, "items", "item_id", "embedding"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    venues = table(spark, folder, "venues", "venue_id", "title")
+    typed = table(spark, folder, "candidates", "cand_id", "venue").filter(F.col("venue").rlike(r"(?U)\S"))
+    typed = typed.join(venues.select(F.col("title").alias("venue")), "venue", "left_anti")
+    meant = cut(map_to_canonical(typed, "venue", venues, "venue_id", "title"), "meant")
+    return typed.join(meant, "venue").select("cand_id", "venue_id")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -30,7 +41,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
