@@ -221,7 +221,7 @@ def map_to_canonical(values: DataFrame, value_col: str, reference: DataFrame, id
             for part in parts:
                 yield answers(ref, part["value"].tolist())
 
-        result = distinct.repartition("value").mapInPandas(run, found)
+        result = distinct.repartition(4 * spark.sparkContext.defaultParallelism, "value").mapInPandas(run, found)
     else:
         shards = -(-number // SHARD_ENTRIES)
         left = entries.select(F.pmod(F.xxhash64("title"), F.lit(shards)).alias("shard"), F.lit(0).alias("asks"), "id", F.col("title").alias("value"))
