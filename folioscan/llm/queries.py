@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from ..tables import table
 from .canonical import map_to_canonical
+from .names import link_names, name_pairs
 from .neighbours import neighbour_pairs
 from .packing import pack
 from .spans import shared_spans
@@ -20,6 +21,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_pairs(table(spark, folder, "items", "item_id", "embedding"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    typed = table(spark, folder, "items", "creators").unionAll(table(spark, folder, "candidates", "authors"))
+    names = typed.select(F.explode("creators").alias("name"))
+    return name_pairs(link_names(names, "name", table(spark, folder, "nicknames", "nick", "given")), "name")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     venues = table(spark, folder, "venues", "venue_id", "title")
     typed = table(spark, folder, "candidates", "cand_id", "venue").filter(F.col("venue").rlike(r"(?U)\S"))
@@ -41,7 +48,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
