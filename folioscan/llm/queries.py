@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from ..tables import table
 from .canonical import map_to_canonical
+from .history import repeats
+from .linkage import match_records
 from .names import link_names, name_pairs
 from .neighbours import neighbour_pairs
 from .packing import pack
@@ -27,6 +29,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return name_pairs(link_names(names, "name", table(spark, folder, "nicknames", "nick", "given")), "name")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    works = table(spark, folder, "candidates", "cand_id", "doi", "identifier", "title", "authors", "published")
+    feed = table(spark, folder, "feed_works", "feed_id", "title", "authors", "published")
+    return match_records(works, feed, "cand_id", "feed_id").select("cand_id", "feed_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     venues = table(spark, folder, "venues", "venue_id", "title")
     typed = table(spark, folder, "candidates", "cand_id", "venue").filter(F.col("venue").rlike(r"(?U)\S"))
@@ -35,6 +43,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return typed.join(meant, "venue").select("cand_id", "venue_id")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats(table(spark, folder, "candidates", "cand_id", "doi", "identifier", "title", "authors", "published"), "cand_id")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -48,7 +60,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
