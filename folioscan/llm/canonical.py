@@ -47,6 +47,8 @@ def plain(text: str) -> str:
     """Entities resolved, compatibility forms, lower case, no accents, single spaces."""
     while (bare := html.unescape(text)) != text:
         text = bare
+    if text.isascii():
+        return " ".join(text.lower().split())
     text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).casefold())
     return " ".join("".join(c for c in text if not unicodedata.combining(c)).split())
 

@@ -34,13 +34,15 @@ _BASE = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "
 
 def fold(text: str) -> str:
     """Lower case, no accents, compatibility forms, dashes alike."""
+    if text.isascii():
+        return text.lower()
     text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).casefold())
     text = "".join("-" if unicodedata.category(c) == "Pd" else c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
     return text.translate(_BASE)
 
 
 def _letters(text: str) -> str:
-    return "".join(c for c in text if c.isalnum())
+    return text if text.isalnum() else "".join(c for c in text if c.isalnum())
 
 
 def _token(raw: str, others_upper: bool) -> tuple[str, str]:

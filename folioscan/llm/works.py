@@ -27,6 +27,7 @@ _LITTLE = frozenset("a an and at by d das de der des die du e el en et for from
 _STOCK = frozenset(
     ["announcements", "book review", "book reviews", "contents", "correction", "corrigendum", "editorial", "errata", "erratum", "foreword", "front matter", "in memoriam", "introduction", "issue information", "letter to the editor", "masthead", "news", "news and views", "obituary", "preface", "table of contents"]
 )
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 #: Days between two dates of one work, at most, where only dates tell works apart.
 NEAR_DAYS = 60
 
@@ -54,28 +55,30 @@ def describe(title: str | None, authors) -> tuple:
     words = _WORD.findall(_PART.sub(" ", text).replace("&", " and "))
     stock = " ".join(words) in _STOCK or len([w for w in words if w not in _LITTLE]) < 2
     numbers = " ".join(sorted(w for w in words if w.isdigit()))
-    counts = bytearray(28)
-    for c in "".join(words):
-        at = ord(c) - 97
-        at = at if 0 <= at < 26 else 26 if c.isdigit() else 27
-        counts[at] = min(255, counts[at] + 1)
     glued = "".join(words)
-    return words, about, part, numbers, " ".join(sorted(w for w in words if w != "and")), glued[:24], stock, families(authors), bytes(counts)
+    counts = [glued.count(c) for c in _ALPHABET]
+    digits = sum(map(len, filter(str.isdigit, words))) if numbers else 0
+    counts = bytes(min(255, n) for n in (*counts, digits, len(glued) - sum(counts) - digits))
+    return words, about, part, numbers, " ".join(sorted(w for w in words if w != "and")), glued[:24], stock, families(authors), counts
 
 
-def described(df: DataFrame, id_col: str) -> DataFrame:
-    """``df`` (id, title, authors, published) with what its title and authors say."""
-    schema = f"id {df.schema[id_col].dataType.simpleString()}, day int, {SCHEMA}"
+def described(df: DataFrame, id_col: str, *keep: str) -> DataFrame:
+    """``df`` (id, title, authors, published) with what its title and authors say, and the columns of ``keep``."""
+    kept = [f"{c} {df.schema[c].dataType.simpleString()}" for c in keep]
+    schema = ", ".join([f"id {df.schema[id_col].dataType.simpleString()}", "day int", *kept, SCHEMA])
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.DataFrame([(i, d, *describe(t, a)) for i, d, t, a in zip(p["id"], p["day"].astype("object"), p["title"], p["authors"])], columns=names).astype({"day": "Int32"})
+            told = pd.DataFrame([describe(t, a) for t, a in zip(p["title"], p["authors"])], columns=names[2 + len(keep) :], index=p.index)
+            yield pd.concat([p[["id", "day", *keep]].astype({"day": "Int32"}), told], axis=1)
 
     # dates before 1900 and the epoch's first day are no dates
     date = F.to_date("published")
     day = F.when((date > "1970-01-01") & (date < "2100-01-01"), F.datediff(date, F.lit("1970-01-01").cast("date")))
-    return df.select(F.col(id_col).alias("id"), day.alias("day"), "title", "authors").mapInPandas(run, schema)
+    asked = df.select(F.col(id_col).alias("id"), day.alias("day"), *keep, "title", "authors")
+    # a fixed number of tasks: what a row costs here has little to do with its bytes
+    return asked.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "id").mapInPandas(run, schema)
 
 
 def _slip(a: str, b: str) -> bool:
@@ -168,7 +171,8 @@ def judged(pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"a": p["a"], "b": p["b"], "confidence": [confidence(x, y) for x, y in zip(p["x"].tolist(), p["y"].tolist())]})
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "x", "y").mapInPandas(run, f"a {kind}, b {kind}, confidence double")
+    spread = pairs.select("a", "b", "x", "y").repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "a", "b")
+    return spread.mapInPandas(run, f"a {kind}, b {kind}, confidence double")
 
 
 FIELDS = ("words", "about", "part", "numbers", "stock", "families", "day")
