@@ -178,6 +178,17 @@ def judged(pairs: DataFrame) -> DataFrame:
 FIELDS = ("words", "about", "part", "numbers", "stock", "families", "day")
 
 
+#: Ids of pairs that are sent to all tasks, so that of the descriptions only theirs are shuffled.
+BROADCAST_IDS = 500_000
+
+
 def with_descriptions(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    pick = F.struct(*FIELDS)
-    return pairs.join(left.select(F.col("id").alias("a"), pick.alias("x")), "a").join(right.select(F.col("id").alias("b"), pick.alias("y")), "b")
+    """Pairs (a written table) with the descriptions of both as x and y."""
+    small = pairs.count() <= BROADCAST_IDS  # else Spark joins by shuffle
+    out = pairs
+    for key, name, told in (("a", "x", left), ("b", "y", right)):
+        side = told.select(F.col("id").alias(key), F.struct(*FIELDS).alias(name))
+        if small:
+            side = side.join(F.broadcast(pairs.select(key).distinct()), key, "left_semi")
+        out = out.join(side, key)
+    return out
