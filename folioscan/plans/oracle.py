@@ -57,11 +57,22 @@ def short(x: str) -> str:
     return f"CASE WHEN length({x}) > 80 THEN {x}[1:80] || '…' ELSE {x} END"
 
 
+def unescape(x: str) -> str:
+    """The references that occur, the ampersand's last."""
+    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
+        x = f"replace({x}, '{ref}', '{char}')"
+    return x
+
+
+_UNTAGGED = f"regexp_replace({unescape('abstract')}, '<[^>]+>', ' ', 'g')"
+_COLLAPSED = f"regexp_replace({_UNTAGGED}, '{WS}+', ' ', 'g')"
+
 ORACLE: dict[str, str] = {
     "clean_title": f"SELECT cand_id, {strip('title')} AS title FROM candidates WHERE title IS NOT NULL AND {strip('title')} <> ''",
     "normalize_title": f"SELECT item_id, {title('title')} AS title FROM items",
     "normalize_identifier": f"SELECT cand_id, {ident('identifier')} AS identifier, {ident('doi')} AS doi FROM candidates",
     "year_of": "SELECT item_id, CAST(TRY_CAST(list_filter(string_split(date_text, '-'), lambda x: regexp_full_match(x, '[0-9]+'))[1] AS INTEGER) AS BIGINT) AS pub_year FROM items",
+    "clean_abstract": f"SELECT cand_id, nullif({strip(_COLLAPSED)}, '') AS abstract FROM candidates",
     "numeric_metrics": "SELECT event_id, k AS name, TRY_CAST(json_extract_string(props, '$.' || k) AS DOUBLE) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events WHERE props IS NOT NULL) WHERE TRY_CAST(json_extract_string(props, '$.' || k) AS DOUBLE) IS NOT NULL",
     "content_hash": "SELECT item_id, sha256(concat(coalesce(title, ''), coalesce(abstract, ''), coalesce(array_to_string(creators, ','), ''), coalesce(array_to_string(tags, ','), ''))) AS content_hash FROM items",
     "embedding_text_library": r"SELECT item_id, concat_ws(E'\n', nullif(title, ''), nullif(abstract, ''), nullif(array_to_string(creators, '; '), ''), nullif(array_to_string(tags, '; '), '')) AS content FROM items",
