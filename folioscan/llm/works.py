@@ -34,7 +34,7 @@ NEAR_DAYS = 60
 SCHEMA = "words array<string>, about string, part string, numbers string, sorted string, head string, stock boolean, families array<string>, letters binary"
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _family(name: str) -> str | None:
     r = parse(name)
     return r[2] if r and r[1] else f"{min(r[2], r[6])} {max(r[2], r[6])}" if r else None
