@@ -1,0 +1,147 @@
+"""Pairs of records that may be of one work, without a limit on how common a name, word or title is."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..lineage import cut
+from ..operators.blocks import against_blocks
+from .works import _LITTLE
+
+#: Rows of one table that are held at once for a name; commoner names are held in several blocks.
+BLOCK_ROWS = 16_384
+#: Shared words that are counted at once.
+AT_ONCE = 2_000_000
+
+
+def _people(told: DataFrame, *keep: str) -> DataFrame:
+    """Rows of ``told`` for each word of the authors' names."""
+    words = F.array_distinct(F.split(F.array_join("families", " "), " "))
+    return told.select(*keep, F.explode(words).alias("family")).filter("family <> ''")
+
+
+def _coded(told: DataFrame) -> DataFrame:
+    """What guesses need of a description; ``ws`` has hashes of the words that say something."""
+    weighty = F.array_except(F.array_distinct("words"), F.array(*map(F.lit, sorted(_LITTLE))))
+    return told.filter("sorted <> ''").select(
+        "id", F.xxhash64("about", "part", "numbers").alias("kind"), F.xxhash64("sorted", "about", "part").alias("work"),
+        F.when(F.length("head") == 24, F.xxhash64("head", "about", "part", "numbers")).alias("head"), "stock", "families", F.size("words").alias("size"),
+        F.transform(weighty, lambda w: F.hash(w)).alias("ws"),
+    )
+
+
+def _pairs(l: DataFrame, r: DataFrame, *keys: str) -> DataFrame:  # noqa: E741
+    return l.select(F.col("id").alias("a"), *keys).join(r.select(F.col("id").alias("b"), *keys), list(keys)).select("a", "b")
+
+
+def _meet(asks: DataFrame, held: DataFrame, same: bool) -> DataFrame:
+    """(a, b): rows of equal ``cell`` and different titles, where half the words of the shorter title are in the other."""
+    kind = held.schema["id"].dataType
+    pair = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    many = held.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).filter("blocks > 1")
+    many = cut(many, "hot")
+    held = held.join(many, "cell", "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    asks = asks.join(many, "cell", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+
+    def read(batch: pa.RecordBatch):
+        ids, works = (batch.column(c).to_numpy(zero_copy_only=False) for c in (3, 4))
+        n = batch.column(5).value_lengths().to_numpy(zero_copy_only=False)
+        return ids, works, n, batch.column(5).flatten().to_numpy(zero_copy_only=False)
+
+    def prepare(batches: list[pa.RecordBatch]):
+        ids, works, n, words = (np.concatenate(x) for x in zip(*map(read, batches)))
+        order = np.argsort(words, kind="stable")
+        return ids, works, n, words[order], np.repeat(np.arange(len(n)), n)[order]
+
+    def answer(index, batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, works, n, words, rows = index
+        my_ids, my_works, my_n, my_words = read(batch)
+        low, high = np.searchsorted(words, my_words, "left"), np.searchsorted(words, my_words, "right")
+        hits, whose = high - low, np.repeat(np.arange(len(my_n)), my_n)
+        ends = np.cumsum(my_n)
+        done = np.concatenate([[0], np.cumsum(hits)])[np.concatenate([[0], ends])]
+        a, b, i = [], [], 0
+        while i < len(my_n):
+            j = max(i + 1, int(np.searchsorted(done, done[i] + AT_ONCE, "right")) - 1)
+            part = slice(ends[i] - my_n[i], ends[j - 1])
+            h = hits[part]
+            at = np.arange(h.sum()) - np.repeat(np.cumsum(h) - h, h) + np.repeat(low[part], h)
+            code, shared = np.unique(np.repeat(whose[part], h).astype(np.int64) * len(n) + rows[at], return_counts=True)
+            x, y = code // len(n), code % len(n)
+            keep = (2 * shared >= np.minimum(my_n[x], n[y])) & (my_works[x] != works[y])
+            if same:
+                keep &= my_ids[x] < ids[y]
+            a.append(my_ids[x[keep]])
+            b.append(ids[y[keep]])
+            i = j
+        empty = np.empty(0, ids.dtype)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *a])), pa.array(np.concatenate([empty, *b]))], names=["a", "b"])
+
+    return against_blocks(held, asks, ["cell", "block"], ["id", "work", "ws"], prepare, answer, pair)
+
+
+def guesses(left: DataFrame, right: DataFrame, same: bool = False) -> DataFrame:
+    """(a, b): entries of two tables of descriptions that are held against each other; a < b if the tables are the ``same``.
+
+    - Titles of equal words with an author in common: the least id of either side of a
+      title and author with all of the other side, as all of these pairs match; of stock
+      headings, where dates tell, all pairs.
+    - Other titles with an author in common, if their beginnings are equal or half the
+      words of the shorter are in the longer: a group of one author's works is compared
+      in blocks, however large.
+    - Titles of which one has no authors, if half the words of the shorter are in the
+      longer: met over rare words (prefix filter; exact, as such titles match only if
+      they have three quarters of their words in common).
+
+    No attribute is left out for being common.  Not guessed: a title of which more than
+    half the words are damaged, its beginning included.
+    """
+    l = cut(_coded(left), "coded")  # noqa: E741
+    r = l if same else cut(_coded(right), "coded")
+    keep = ("id", "kind", "work", "head", "stock", "ws")
+    ask, held = _people(l, *keep), _people(r, *keep)
+    stock = _pairs(ask.filter("stock"), held.filter("stock"), "work", "family")
+    ask, held = ask.filter("not stock"), held.filter("not stock")
+    first = lambda df: df.groupBy("work", "family").agg(F.min("id").alias("id"))
+    alike = _pairs(ask, first(held), "work", "family").unionByName(_pairs(first(ask), held, "work", "family"))
+    begun = _pairs(ask.filter("head is not null"), held.filter("head is not null"), "head", "family")
+    celled = lambda df: df.select(F.xxhash64("family", "kind").alias("cell"), "id", "work", "ws")
+    known = _meet(celled(ask), celled(held), same)
+
+    # a global order of words, rare ones first, by how many titles have them
+    rows = l if same else l.unionByName(r)
+    seen = rows.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+    def prefixes(df: DataFrame) -> DataFrame:
+        words = df.select("id", "kind", "work", "size", "ws", F.explode("ws").alias("w")).join(seen, "w")
+        words = words.groupBy("id", "kind", "work", "size", "ws").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
+        n = F.size("ws")
+        length = n - F.ceil((n - F.floor(F.col("size") / 4)) / 2) + 1
+        return words.select("id", "work", "ws", "kind", F.explode(F.slice("o.w", F.lit(1), F.least(n, length).cast("int"))).alias("w")).select(F.xxhash64("w", "kind").alias("cell"), "id", "work", "ws")
+
+    long_ = lambda df: df.filter("not stock and size >= 4")
+    some = cut(prefixes(long_(l)).join(l.filter("size(families) = 0").select("id"), "id", "left_semi"), "bare")
+    if same:
+        nameless = _meet(some, prefixes(long_(r)), False).unionByName(_bare_copies(l, r))
+    else:
+        bare = cut(prefixes(long_(r)).join(r.filter("size(families) = 0").select("id"), "id", "left_semi"), "bare")
+        nameless = _meet(some, prefixes(long_(r)), False).unionByName(_meet(bare, prefixes(long_(l)), False).select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(_bare_copies(l, r))
+    out = stock.unionByName(alike).unionByName(begun).unionByName(known).unionByName(nameless)
+    if same:
+        out = out.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return out.distinct()
+
+
+def _bare_copies(l: DataFrame, r: DataFrame) -> DataFrame:  # noqa: E741
+    """Equal titles of which one has no authors: the least such row of either side with all of the other."""
+    titled = lambda df: df.filter("not stock and size >= 4")
+    bare = lambda df: titled(df).filter("size(families) = 0")
+    first = lambda df: df.groupBy("work").agg(F.min("id").alias("id"))
+    return (
+        _pairs(first(bare(l)), titled(r), "work").unionByName(_pairs(titled(l), first(bare(r)), "work"))
+        .unionByName(_pairs(bare(l), first(titled(r)), "work")).unionByName(_pairs(first(titled(l)), bare(r), "work"))
+    )

@@ -6,71 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
+from .guesses import guesses
 from .history import entries_and_classes
 from .links import components
 from .works import judged, with_descriptions
 
-#: Pairs that an attribute may bring together; commoner attributes say little and bring no pair of their own.
-RARE_PAIRS = 400
-#: Weight from which on a single word may stand alone (five holders in both tables together).
-VERY_RARE = 0.55
-#: Share of a record's best edge weight that its other edges need, to be kept.
-KEEP = 0.25
 #: Confidence from which on records match.
 MATCH = 0.5
 
 
-def _attributes(told: DataFrame) -> DataFrame:
-    """(id, attr): what a record may share with others of its work."""
-    words = F.filter(F.array_distinct("words"), lambda w: (F.length(w) >= 5) & ~w.rlike("^[0-9]+$"))
-    people = F.filter(F.array_distinct(F.split(F.array_join("families", " "), " ")), lambda w: F.length(w) >= 4)
-    title = F.concat_ws("|", "about", "part", "sorted")
-    always = F.array(F.concat(F.lit("t:"), title), F.concat(F.lit("h:"), "head"))
-    both = F.transform(people, lambda w: F.concat(F.lit("s:"), title, F.lit("|"), w))
-    single = F.transform(words, lambda w: F.concat(F.lit("w:"), w))
-    parts = F.when(F.col("stock"), both).otherwise(F.concat(always, both, single))
-    told = told.filter("sorted <> ''").select("id", F.explode(F.array_distinct(parts)).alias("attr"))
-    return told.select("id", F.xxhash64("attr").alias("attr"), (~F.col("attr").startswith("w:")).alias("strong"))
-
-
-def _people(told: DataFrame, key: str) -> DataFrame:
-    """(``key``, people_``key``): hashes of the words of the authors' names."""
-    words = F.filter(F.split(F.array_join("families", " "), " "), lambda w: w != "")
-    return told.select(F.col("id").alias(key), F.transform(words, lambda w: F.hash(w)).alias(f"people_{key}"))
-
-
-def candidate_graph(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, weight): pairs that share rare attributes, after meta-blocking.
-
-    An edge weighs the sum of its shared attributes' rarity.  Attributes that would bring
-    together more than RARE_PAIRS pairs bring none (full titles come also with each
-    author, so that no work is out of reach for its title being common).  An edge on
-    words of the title alone needs an author in common (if one side has no authors: two
-    words, or a very rare one), and of a record's edges those far lighter than its
-    heaviest are dropped, unless they are among the heaviest of the other record.
-    """
-    l, r = _attributes(left), _attributes(right).select(F.col("id").alias("b"), "attr")  # noqa: E741
-    count = l.groupBy("attr").agg(F.count("*").alias("m")).join(r.groupBy("attr").agg(F.count("*").alias("n")), "attr")
-    rare = cut(count.filter(F.col("m") * F.col("n") <= RARE_PAIRS).select("attr", (1 / F.log(1 + F.col("m") + F.col("n"))).alias("w")), "rare")
-    edges = l.join(rare, "attr").join(r, "attr").groupBy(F.col("id").alias("a"), "b").agg(F.sum("w").alias("weight"), F.max("strong").alias("strong"), F.count("*").alias("shared"))
-    edges = cut(edges, "shared")
-    weak = edges.filter("not strong").join(_people(left, "a"), "a").join(_people(right, "b"), "b")
-    weak = weak.filter(F.arrays_overlap("people_a", "people_b") | (F.size("people_a") == 0) | (F.size("people_b") == 0))
-    # without authors on one side a single word must be very rare
-    weak = weak.filter((F.col("shared") >= 2) | (F.col("weight") >= VERY_RARE) | (F.size("people_a") > 0) & (F.size("people_b") > 0))
-    edges = cut(edges.filter("strong").select("a", "b", "weight").unionByName(weak.select("a", "b", "weight")), "edges")
-    best_a, best_b = edges.groupBy("a").agg(F.max("weight").alias("_a")), edges.groupBy("b").agg(F.max("weight").alias("_b"))
-    return edges.join(best_a, "a").join(best_b, "b").filter(f"weight >= {KEEP} * least(_a, _b)").select("a", "b", "weight")
-
-
 def match_records(left: DataFrame, right: DataFrame, left_id: str, right_id: str, doi_col: str | None = "doi") -> DataFrame:
     """(``left_id``, ``right_id``, ``confidence``): records of two tables that describe the same work.
 
     Both tables have an id, title, authors and published; ids of the two must not meet.
 
     Method: collective graph linkage.  Records of one table that are of one work are
-    brought together first; a candidate graph between the tables is weighted by rare
-    shared attributes and pruned by meta-blocking; edges get a confidence from words,
+    brought together first; pairs between the tables that share an author and a title's
+    beginning or half its words (without authors: the words) get a confidence from words,
     authors and dates; and the confident ones spread over their neighbours: what is
     linked with one record of a work is linked with its others, until nothing changes.
 
@@ -85,7 +37,7 @@ def match_records(left: DataFrame, right: DataFrame, left_id: str, right_id: str
         told, classes = entries_and_classes(rows, "id", "doi", "identifier", near=False)
         tables.append((cut(classes, "classes"), told))
     (class_a, told_a), (class_b, told_b) = tables
-    pairs = cut(candidate_graph(told_a, told_b).select("a", "b"), "pairs")
+    pairs = cut(guesses(told_a, told_b), "pairs")
     scored = cut(judged(with_descriptions(pairs, told_a, told_b)).filter(f"confidence >= {MATCH}"), "scored")
     edges = scored.join(class_a.select(F.col("id").alias("a"), F.col("root").alias("_a")), "a").join(class_b.select(F.col("id").alias("b"), F.col("root").alias("_b")), "b")
     edges = cut(edges.groupBy(F.col("_a").alias("a"), F.col("_b").alias("b")).agg(F.max("confidence").alias("confidence")), "class_edges")

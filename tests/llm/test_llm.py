@@ -220,6 +220,18 @@ def test_match_records(spark):
     assert match_records(records(spark, ROWS), right.filter("false"), "cand_id", "feed_id").count() == 0
 
 
+def test_match_common_titles_and_words(spark):
+    """More than 400 pairs of one title and author, and only common words beside a damaged beginning."""
+    left = [(i, None, None, "Editorial", ["C. Vumeral"], f"{1900 + i}-05-02") for i in range(71, 171)]
+    right = [(1000 + i, None, None, "Editorial", ["C. Vumeral"], f"{1900 + i}-05-09") for i in range(71, 171, 10)]
+    places = [a + b for a in ("bal", "dor", "gim", "kel", "mun") for b in ("aro", "eti", "ilu", "osa", "uve")]
+    left += [(2000 + i, None, None, f"Polar models of layer drainage at {p}", [f"A. {p}son"], "2020-01-01") for i, p in enumerate(places)]
+    right += [(3000 + i, None, None, f"Pollar models of layer drainage at x{p[1:]}", [f"A. {p}son"], "2020-01-01") for i, p in enumerate(places)]
+    right = records(spark, right).withColumnRenamed("cand_id", "feed_id")
+    got = {tuple(r)[:2] for r in match_records(records(spark, left), right, "cand_id", "feed_id").collect()}
+    assert got == {(i, 1000 + i) for i in range(71, 171, 10)} | {(2000 + i, 3000 + i) for i in range(len(places))}
+
+
 # ---- 4 ----
 
 
