@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..lineage import cut
 from ..operators.blocks import against_blocks
+from .links import within_one_edit
 from .works import _LITTLE
 
 #: Rows of one table that are held at once for a name; commoner names are held in several blocks.
@@ -34,6 +35,16 @@ def _coded(told: DataFrame) -> DataFrame:
     )
 
 
+def _with_slips(people: DataFrame, others: DataFrame) -> DataFrame:
+    """``people``, and their rows again under each name of ``others`` that :func:`works.authors_match` takes for theirs."""
+    names = cut(people.select("family").unionByName(others.select("family")).distinct(), "names")
+    near = within_one_edit(names.withColumn("all", F.lit(0)), ["all"], "family").filter("greatest(length(a), length(b)) > 4")
+    near = near.select(F.col("a").alias("family"), F.col("b").alias("other")).unionByName(near.select(F.col("b").alias("family"), F.col("a").alias("other")))
+    near = cut(near, "slips")
+    again = people.join(near, "family").drop("family").withColumnRenamed("other", "family")
+    return people.unionByName(again.select(people.columns))
+
+
 def _pairs(l: DataFrame, r: DataFrame, *keys: str) -> DataFrame:  # noqa: E741
     return l.select(F.col("id").alias("a"), *keys).join(r.select(F.col("id").alias("b"), *keys), list(keys)).select("a", "b")
 
@@ -87,7 +98,7 @@ def _meet(asks: DataFrame, held: DataFrame, same: bool) -> DataFrame:
 def guesses(left: DataFrame, right: DataFrame, same: bool = False) -> DataFrame:
     """(a, b): entries of two tables of descriptions that are held against each other; a < b if the tables are the ``same``.
 
-    - Titles of equal words with an author in common: the least id of either side of a
+    - Titles of equal words with an author in common, slips of names included: the least id of either side of a
       title and author with all of the other side, as all of these pairs match; of stock
       headings, where dates tell, all pairs.
     - Other titles with an author in common, if their beginnings are equal or half the
@@ -104,6 +115,7 @@ def guesses(left: DataFrame, right: DataFrame, same: bool = False) -> DataFrame:
     r = l if same else cut(_coded(right), "coded")
     keep = ("id", "kind", "work", "head", "stock", "ws")
     ask, held = _people(l, *keep), _people(r, *keep)
+    ask = _with_slips(ask, held)
     stock = _pairs(ask.filter("stock"), held.filter("stock"), "work", "family")
     ask, held = ask.filter("not stock"), held.filter("not stock")
     first = lambda df: df.groupBy("work", "family").agg(F.min("id").alias("id"))

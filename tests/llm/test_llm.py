@@ -232,6 +232,21 @@ def test_match_common_titles_and_words(spark):
     assert got == {(i, 1000 + i) for i in range(71, 171, 10)} | {(2000 + i, 3000 + i) for i in range(len(places))}
 
 
+def test_match_slips_of_authors_and_bare_titles(spark):
+    left = [
+        (1, None, None, "Testing polar models of layer drainage at Thanihon", ["Anna Lorukel"], "2023-01-05"),
+        *((i, None, None, f"Other {w} of layer drainage", [], None) for i, w in enumerate(("rivers", "lakes", "soils", "ponds", "fens", "bogs"), 2)),
+        (9, None, None, "Remarkable notes from layer drainage", ["Q. Zumer"], "2020-01-01"),
+    ]
+    right = [
+        (101, None, None, "Tsting polar models of layer drainage at Thanihon", ["Anna Loruckel"], "2023-01-01"),
+        (102, None, None, "Remarkible notes from layer drainage", [], None),
+    ]
+    right = records(spark, right).withColumnRenamed("cand_id", "feed_id")
+    got = {tuple(r)[:2] for r in match_records(records(spark, left), right, "cand_id", "feed_id").collect()}
+    assert got == {(1, 101), (9, 102)}
+
+
 # ---- 4 ----
 
 
