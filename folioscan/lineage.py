@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and return it as a plain table scan.
 
-    The table is removed when the driver's interpreter ends.
+    The table is removed by :func:`drop`, or when the driver's interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -40,6 +40,15 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of :func:`cut` that no later step reads (columns may have been renamed or left out since)."""
+    for table in tables:
+        for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+            for _, path in list(_written):
+                if folder.endswith(path.rpartition("/")[2]):
+                    forget(path)
+
+
 def forget(path_or_none: str | None = None) -> None:
     """Delete the tables written by :func:`cut` (all of them, or one)."""
     for spark, path in [x for x in _written if path_or_none in (None, x[1])]:
