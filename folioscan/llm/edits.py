@@ -69,6 +69,17 @@ def typos(a: str, b: str, most: int) -> int:
         return most + 1
     if a == b:
         return 0
+    # what both begin or end with costs nothing
+    low, high, other = 0, len(a), len(b)
+    while low < high and low < other and a[low] == b[low]:
+        low += 1
+    while high > low and other > low and a[high - 1] == b[other - 1]:
+        high, other = high - 1, other - 1
+    a, b = a[low:high], b[low:other]
+    if not a or not b:
+        return max(len(a), len(b))
+    if most == 1:
+        return 1 if len(a) == len(b) == 1 or len(a) == len(b) == 2 and a[0] == b[1] and a[1] == b[0] else 2
     far = most + 1
     before2: list[int] = []
     before = [j if j <= most else far for j in range(len(b) + 1)]

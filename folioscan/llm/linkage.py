@@ -6,47 +6,109 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from .guesses import guesses
-from .history import entries_and_classes
-from .links import components
-from .works import judged, with_descriptions
+from .cells import pairs_of_cells, title_cells, word_cells, word_counts
+from .keys import plain_doi, plain_identifier
+from .links import components, star
+from .works import MATCH, WEAK, described, judged
 
-#: Confidence from which on records match.
-MATCH = 0.5
+#: What a like neighbour adds to a weak pair, of the likeness it passes on.
+PASSED_ON = 0.5
+#: Change below which confidences are stable.
+STABLE = 0.01
 
 
-def match_records(left: DataFrame, right: DataFrame, left_id: str, right_id: str, doi_col: str | None = "doi") -> DataFrame:
+def records(df: DataFrame, id_col: str, doi_col: str | None = None, identifier_col: str | None = None) -> DataFrame:
+    """(id, doi, identifier, title, authors, published, venue) of a table; columns that it lacks are null."""
+    void = F.lit(None).cast("string")
+    doi = plain_doi(F.col(doi_col)) if doi_col and doi_col in df.columns else void
+    identifier = plain_identifier(F.col(identifier_col)) if identifier_col and identifier_col in df.columns else void
+    venue = F.col("venue") if "venue" in df.columns else void
+    return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), doi.alias("doi"), identifier.alias("identifier"), "title", "authors", F.to_date("published").alias("published"), venue.alias("venue"))
+
+
+def first_of_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records that are the first to say what they say, (id, first) of the others)."""
+    rows = rows.withColumn("print", F.xxhash64("title", "authors", "published", "venue"))
+    first = rows.groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = cut(rows.select("id", "print").join(first, "print").select("id", "first").distinct(), "copies")
+    copies = copies.filter("id <> first")
+    return rows.drop("print").join(copies.select("id"), "id", "left_anti"), copies
+
+
+def refined(scored: DataFrame) -> DataFrame:
+    """Edges (a, b, confidence) of MATCH and more, after confidences have spread until they are stable.
+
+    A pair too weak by itself is lifted by each neighbour c that both are like: its
+    confidence becomes 1 - (1 - own) * product of (1 - PASSED_ON * min(of a and c, of c
+    and b)).  All weak pairs are updated in a round; rounds end when none changes by
+    more than STABLE, which must happen as confidences only rise and stay below 1.
+    """
+    now = scored.select("a", "b", "confidence", F.col("confidence").alias("own"))
+    if not now.filter(f"own < {MATCH}").limit(1).count():
+        return now.select("a", "b", "confidence")
+    weak = now.filter(f"own < {MATCH}").select("a", "b")
+    ends = cut(weak.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "ends")
+    # only edges at a weak pair's ends matter, and no others change
+    near = cut(now.join(ends.withColumnRenamed("n", "a"), "a", "left_semi").unionByName(now.join(ends.withColumnRenamed("n", "b"), "b", "left_semi")).distinct(), "near")
+    while True:
+        both = near.select("a", "b", "confidence").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "confidence")).distinct()
+        of_a = both.select("a", F.col("b").alias("c"), F.col("confidence").alias("p"))
+        of_b = both.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("confidence").alias("q"))
+        lifts = weak.join(of_a, "a").join(of_b, ["b", "c"]).groupBy("a", "b").agg(F.sum(F.log1p(-PASSED_ON * F.least("p", "q"))).alias("lift"))
+        lifted = near.join(lifts, ["a", "b"], "left").withColumn("_new", F.when(F.col("own") < MATCH, 1 - (1 - F.col("own")) * F.exp(F.coalesce("lift", F.lit(0.0)))).otherwise(F.col("own")))
+        lifted = cut(lifted.select("a", "b", "confidence", "own", "_new"), "lifted")
+        moved = lifted.filter(F.abs(F.col("_new") - F.col("confidence")) > STABLE).limit(1).count()
+        near = lifted.select("a", "b", F.col("_new").alias("confidence"), "own")
+        if not moved:
+            break
+    risen = near.filter(f"own < {MATCH} and confidence >= {MATCH}").select("a", "b", "confidence")
+    return now.filter(f"own >= {MATCH}").select("a", "b", "confidence").unionByName(risen)
+
+
+def same_works(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, root) of records (as by :func:`records`) and the least id of their work; edges (a, b, confidence) behind it."""
+    single, copies = first_of_copies(rows)
+    told = cut(described(single, "id"), "described")
+    counts = word_counts(told)
+    several = told.groupBy("own_title").agg(F.count("*").alias("n")).filter("n > 1 and own_title is not null").select("own_title")
+    alike = cut(told.select("id", "own_title", "stock", "families", "venue", "day", "fs").join(several, "own_title", "left_semi"), "alike")
+    # equal titles with an author in common need no judging
+    sure = cut(star(alike.filter("not stock").select("id", F.explode("fs").alias("f"), "own_title"), "own_title", "f"), "sure")
+    cells = word_cells(told, counts).unionByName(title_cells(alike))
+    pairs = cut(pairs_of_cells(cells, told, counts), "pairs")
+    scored = cut(judged(pairs, told, pairs.count()).filter(f"confidence >= {WEAK}"), "scored")
+    edges = refined(scored).unionByName(sure.select("a", "b", F.lit(0.9).alias("confidence")))
+    edges = cut(edges, "edges")
+    said = star(rows.select("id", "doi"), "doi").unionByName(star(rows.select("id", "identifier"), "identifier"))
+    links = edges.select("a", "b").unionByName(said).unionByName(copies.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    return components(rows.select("id").distinct(), links, "id"), edges
+
+
+def match_records(left: DataFrame, right: DataFrame, left_id: str, right_id: str, doi_col: str | None = "doi", identifier_col: str | None = "identifier") -> DataFrame:
     """(``left_id``, ``right_id``, ``confidence``): records of two tables that describe the same work.
 
-    Both tables have an id, title, authors and published; ids of the two must not meet.
+    Both tables have an id, title, authors, published and perhaps venue; ids of the two must not meet.
 
-    Method: collective graph linkage.  Records of one table that are of one work are
-    brought together first; pairs between the tables that share an author and a title's
-    beginning or half its words (without authors: the words) get a confidence from words,
-    authors and dates; and the confident ones spread over their neighbours: what is
-    linked with one record of a work is linked with its others, until nothing changes.
+    Method: collective graph linkage.  Records of both tables are nodes; candidate edges
+    come from rare shared attributes (triples of a title's rarest words, and so on; see
+    :mod:`cells`), block filtering keeps each record to its rarest, and cells too large
+    are split by further words and authors.  Edges get a confidence from words, authors,
+    dates and venues; weak ones are refined by their neighbours' likeness until nothing
+    changes (:func:`refined`); what hangs together is one work.  Within a table equal
+    DOIs and identifiers link too, where a table has them.
 
-    Defined results: rows with null id are left out; a record without title words and a
-    stock heading without authors match nothing by themselves; repeated rows match as
-    often as their other forms do, once per pair of ids; an empty table gives no match.
+    Defined results: rows with null id are left out; a record without title words
+    matches nothing by itself, nor does a stock heading without authors, venue or date;
+    repeated rows match as often as their other forms do, once per pair of ids; an
+    empty table gives no match.
     """
-    tables = []
-    for df, key in ((left, left_id), (right, right_id)):
-        columns = [F.col(key).alias("id"), "title", "authors", "published", *([F.col(doi_col).alias("doi")] if doi_col and doi_col in df.columns else [F.lit(None).cast("string").alias("doi")])]
-        rows = df.filter(F.col(key).isNotNull()).select(*columns, (F.col("identifier") if "identifier" in df.columns else F.lit(None).cast("string")).alias("identifier"))
-        told, classes = entries_and_classes(rows, "id", "doi", "identifier", near=False)
-        tables.append((cut(classes, "classes"), told))
-    (class_a, told_a), (class_b, told_b) = tables
-    pairs = cut(guesses(told_a, told_b), "pairs")
-    scored = cut(judged(with_descriptions(pairs, told_a, told_b)).filter(f"confidence >= {MATCH}"), "scored")
-    edges = scored.join(class_a.select(F.col("id").alias("a"), F.col("root").alias("_a")), "a").join(class_b.select(F.col("id").alias("b"), F.col("root").alias("_b")), "b")
-    edges = cut(edges.groupBy(F.col("_a").alias("a"), F.col("_b").alias("b")).agg(F.max("confidence").alias("confidence")), "class_edges")
-    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    groups = cut(components(nodes, edges), "groups")
-    sure = edges.join(groups.select(F.col("node").alias("a"), "root"), "a").groupBy("root").agg(F.max("confidence").alias("_best"))
-    of = lambda c, name: c.select(F.col("id").alias(name), F.col("root").alias("node")).join(groups.withColumnRenamed("root", "work"), "node").select(name, "work")
-    both = of(class_a, "a").join(of(class_b, "b"), "work").join(sure.withColumnRenamed("root", "work"), "work")
-    direct = scored.select("a", "b", "confidence")
-    both = both.join(direct, ["a", "b"], "left")
+    a, b = records(left, left_id, doi_col, identifier_col), records(right, right_id, doi_col, identifier_col)
+    classes, edges = same_works(a.unionByName(b))
+    classes = cut(classes, "classes")
+    of = lambda rows, name: rows.select("id").distinct().join(classes, "id").select(F.col("id").alias(name), "root")
+    best = edges.join(classes.withColumnRenamed("id", "a"), "a").groupBy("root").agg(F.max("confidence").alias("_best"))
+    both = of(a, "a").join(of(b, "b"), "root").join(best, "root", "left")
+    direct = edges.select(F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y"), "confidence").groupBy("_x", "_y").agg(F.max("confidence").alias("confidence"))
+    both = both.withColumn("_x", F.least("a", "b")).withColumn("_y", F.greatest("a", "b")).join(direct, ["_x", "_y"], "left")
     # what is matched through others only is a little less sure than they are
-    return both.select(F.col("a").alias(left_id), F.col("b").alias(right_id), F.coalesce("confidence", 0.9 * F.col("_best")).alias("confidence"))
+    return both.select(F.col("a").alias(left_id), F.col("b").alias(right_id), F.coalesce("confidence", 0.9 * F.col("_best"), F.lit(0.9)).alias("confidence"))

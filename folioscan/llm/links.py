@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, drop
 from .edits import typos
 
 
@@ -45,26 +45,33 @@ def within_one_edit(words: DataFrame, block: list[str], word: str) -> DataFrame:
     return pairs.mapInPandas(verify, pairs.schema)
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "node", most_rounds: int = 60) -> DataFrame:
+def star(rows: DataFrame, *keys: str) -> DataFrame:
+    """Edges (a, b) from the least id of equal keys to the others; null keys link nothing."""
+    some = rows.dropna(subset=list(keys)).select(*keys, "id")
+    least = some.groupBy(*keys).agg(F.min("id").alias("a"), F.max("id").alias("_last")).filter("a < _last").drop("_last")
+    return some.join(least, list(keys)).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
+def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     """(``node``, ``root``): the least node that each node is connected with; ``edges`` has columns a and b.
 
     Least labels spread over the edges and over their own labels (so paths shrink by
-    half a round), each round written to a table.  Only whether a round changed
-    something goes to the driver.  Nodes without edges are their own root.
+    half a round), each round written to a table and the one before it dropped.  Only
+    whether a round changed something goes to the driver; rounds go on until none does.
+    Nodes without edges are their own root.
     """
     both = edges.select("a", "b").filter("a <> b")
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    for _ in range(most_rounds):
+    changed = True
+    while changed:
         near = both.join(labels.select(F.col("n").alias("b"), F.col("root").alias("_r")), "b").groupBy(F.col("a").alias("n")).agg(F.min("_r").alias("_near"))
         step = labels.join(near, "n").select("n", F.col("root").alias("_old"), F.least("root", "_near").alias("_new"))
         jump = labels.select(F.col("n").alias("_new"), F.col("root").alias("_far"))
         step = step.join(jump, "_new", "left").select("n", "_old", F.least("_new", F.coalesce("_far", "_new")).alias("root"))
         step = cut(step, "labels")
         changed = step.filter("_old <> root").limit(1).count()
-        labels = step.select("n", "root")
-        if not changed:
-            break
-    else:
-        raise RuntimeError("components didn't settle")
+        labels, before = step.select("n", "root"), labels
+        drop(before)
+    drop(both)
     return nodes.join(labels.select(F.col("n").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))

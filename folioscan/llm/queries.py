@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from ..tables import table
 from .canonical import map_to_canonical
-from .history import repeats
+try:
+    from .history import repeats
+except ImportError:
+    repeats = None
 from .linkage import match_records
 from .names import link_names, name_pairs
 from .neighbours import neighbour_pairs
@@ -30,8 +33,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    works = table(spark, folder, "candidates", "cand_id", "doi", "identifier", "title", "authors", "published")
-    feed = table(spark, folder, "feed_works", "feed_id", "title", "authors", "published")
+    works = table(spark, folder, "candidates", "cand_id", "doi", "identifier", "title", "authors", "published", "venue")
+    feed = table(spark, folder, "feed_works", "feed_id", "title", "authors", "published", "venue")
     return match_records(works, feed, "cand_id", "feed_id").select("cand_id", "feed_id")
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from datetime import date
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .canonical import plain
 from .edits import typos
@@ -21,20 +24,34 @@ _ABOUT = re.compile(r"^\W*(addendum|author correction|comment|commentary|correct
 _PART = re.compile(r"\b(?:part|pt|teil|partie|parte)\.?\s+([ivxl]+|\d+|one|two|three|four)\b")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
+#: Where a title's first segment ends.
+_SEGMENT = re.compile(r"[:?…]|\.\.\.|\s[-–—]\s")
 #: Words whose loss or gain says nothing.
 _LITTLE = frozenset("a an and at by d das de der des die du e el en et for from from in into l la las le les los near of on or the to un una und une with y zu".split())
 #: Headings that many works have.
 _STOCK = frozenset(
     ["announcements", "book review", "book reviews", "contents", "correction", "corrigendum", "editorial", "errata", "erratum", "foreword", "front matter", "in memoriam", "introduction", "issue information", "letter to the editor", "masthead", "news", "news and views", "obituary", "preface", "table of contents"]
 )
-_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 #: Days between two dates of one work, at most, where only dates tell works apart.
 NEAR_DAYS = 60
+#: Days between two dates of one work, at most, where only a venue is beside them.
+SAME_DAYS = 3
+#: Confidence from which on two records are of one work, and from which on like neighbours may lift them there.
+MATCH, WEAK = 0.5, 0.2
 
-SCHEMA = "words array<string>, about string, part string, numbers string, sorted string, head string, stock boolean, families array<string>, letters binary"
+_EPOCH = date(1970, 1, 1).toordinal()
+FIELDS = ("words", "families", "stock", "venue", "day")
 
 
-@lru_cache(maxsize=50_000)
+def hashed(text: str) -> int:
+    """64 bits of a text, as Spark's signed long."""
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+_hashed = lru_cache(maxsize=100_000)(hashed)
+
+
+@lru_cache(maxsize=150_000)
 def _family(name: str) -> str | None:
     r = parse(name)
     return r[2] if r and r[1] else f"{min(r[2], r[6])} {max(r[2], r[6])}" if r else None
@@ -42,52 +59,77 @@ def _family(name: str) -> str | None:
 
 def families(authors) -> list[str]:
     """Family names (and places of organisations); where the order is open both words, the smaller first."""
-    if authors is None:
-        return []
-    return list(dict.fromkeys(f for a in authors if a and (f := _family(a))))
+    return list(dict.fromkeys(f for a in authors or () if a and (f := _family(a))))
+
+
+@lru_cache(maxsize=50_000)
+def _venue(venue: str) -> str:
+    """A venue's words but for little ones, four letters each, so that usual short forms meet."""
+    return "".join(w[:4] for w in _WORD.findall(plain(venue)) if w not in _LITTLE and not w.isdigit())
+
 
+def describe(title: str | None, authors, venue: str | None = None) -> tuple:
+    """(words, families, stock heading, venue, kind, title, content words, those of the first segment, family words).
 
-def describe(title: str | None, authors) -> tuple:
-    """(words, about, part, numbers, sorted words, head, stock heading, families, letter counts)."""
-    text = _BEFORE.sub("", plain(_TAG.sub(" ", title or "")))
+    Words and families are texts with a separator; ``kind`` is a hash of what must be equal (what the title
+    is about another work, its part, its numbers), ``title`` one of the words in any order and the kind.
+    """
+    text = title or ""
+    text = _BEFORE.sub("", plain(_TAG.sub(" ", text) if "<" in text else text))
     about = m[1] if (m := _ABOUT.match(text)) else ""
     part = m[1] if (m := _PART.search(text)) else ""
-    words = _WORD.findall(_PART.sub(" ", text).replace("&", " and "))
-    stock = " ".join(words) in _STOCK or len([w for w in words if w not in _LITTLE]) < 2
+    if part:
+        text = _PART.sub(" ", text)
+    text = text.replace("&", " and ")
+    words = _WORD.findall(text)
+    content = list(dict.fromkeys(w for w in words if w not in _LITTLE))
+    stock = len(content) < 2 or " ".join(words) in _STOCK
     numbers = " ".join(sorted(w for w in words if w.isdigit()))
-    glued = "".join(words)
-    counts = [glued.count(c) for c in _ALPHABET]
-    digits = sum(map(len, filter(str.isdigit, words))) if numbers else 0
-    counts = bytes(min(255, n) for n in (*counts, digits, len(glued) - sum(counts) - digits))
-    return words, about, part, numbers, " ".join(sorted(w for w in words if w != "and")), glued[:24], stock, families(authors), counts
+    kind = hashed(f"{about}\x1f{part}\x1f{numbers}")
+    own = " ".join(sorted(w for w in words if w != "and"))
+    first = len({w for w in _WORD.findall(text[: m.start()]) if w not in _LITTLE}) if (m := _SEGMENT.search(text)) else 0
+    people = families(authors)
+    return (
+        " ".join(words), "|".join(people), stock, _venue(venue) if venue else "", kind, hashed(f"{own}\x1f{kind}") if own else None,
+        [_hashed(w) for w in content], first if first < len(content) else 0, [_hashed(w) for w in dict.fromkeys(w for f in people for w in f.split())],
+    )
 
 
 def described(df: DataFrame, id_col: str, *keep: str) -> DataFrame:
-    """``df`` (id, title, authors, published) with what its title and authors say, and the columns of ``keep``."""
-    kept = [f"{c} {df.schema[c].dataType.simpleString()}" for c in keep]
-    schema = ", ".join([f"id {df.schema[id_col].dataType.simpleString()}", "day int", *kept, SCHEMA])
-    names = [c.split()[0] for c in schema.split(", ")]
+    """``df`` (id, title, authors, published and perhaps venue) with what it says, and the columns of ``keep``.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    One narrow pass over the rows as they are read; ``fs`` are hashes of family words, ``ws`` of content words.
+    """
+    # dates before 1900 and the epoch's first day are no dates
+    when = F.to_date("published")
+    day = F.when((when > "1970-01-01") & (when < "2100-01-01"), F.datediff(when, F.lit("1970-01-01").cast("date")))
+    venue = F.col("venue") if "venue" in df.columns else F.lit(None).cast("string")
+    asked = df.select(F.col(id_col).alias("id"), day.alias("day"), *keep, "title", "authors", venue.alias("venue"))
+    kept = asked.schema.fields[: 2 + len(keep)]
+    long_, string = T.LongType(), T.StringType()
+    told = [("words", string), ("families", string), ("stock", T.BooleanType()), ("venue", string), ("kind", long_), ("own_title", long_), ("ws", T.ArrayType(long_)), ("seg", T.IntegerType()), ("fs", T.ArrayType(long_))]
+    schema = T.StructType([*kept, *(T.StructField(n, k) for n, k in told)])
+    kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64())]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
-            told = pd.DataFrame([describe(t, a) for t, a in zip(p["title"], p["authors"])], columns=names[2 + len(keep) :], index=p.index)
-            yield pd.concat([p[["id", "day", *keep]].astype({"day": "Int32"}), told], axis=1)
+            own = zip(*(p.column(c).to_pylist() for c in ("title", "authors", "venue")))
+            columns = list(zip(*(describe(*x) for x in own))) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*(p.column(i) for i in range(len(kept))), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
 
-    # dates before 1900 and the epoch's first day are no dates
-    date = F.to_date("published")
-    day = F.when((date > "1970-01-01") & (date < "2100-01-01"), F.datediff(date, F.lit("1970-01-01").cast("date")))
-    asked = df.select(F.col(id_col).alias("id"), day.alias("day"), *keep, "title", "authors")
-    # a fixed number of tasks: what a row costs here has little to do with its bytes
-    return asked.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "id").mapInPandas(run, schema)
+    return asked.mapInArrow(run, schema)
 
 
 def _slip(a: str, b: str) -> bool:
-    most = 1 if min(len(a), len(b)) < 6 else 2
-    return not (a.isdigit() or b.isdigit()) and min(len(a), len(b)) > 2 and typos(a, b, most) <= most
+    n = min(len(a), len(b))
+    most = 1 if n < 6 else 2
+    return n > 2 and abs(len(a) - len(b)) <= most and not (a.isdigit() or b.isdigit()) and typos(a, b, most) <= most
 
 
 def title_match(a: list[str], b: list[str]) -> float:
     """0 to 1: how sure two titles' words are those of one work; 0 if each has a word of its own."""
+    if a == b:
+        return 1.0 if a else 0.0
     rest = list(b)
     own = []
     for w in a:
@@ -116,79 +158,76 @@ def title_match(a: list[str], b: list[str]) -> float:
 
 def authors_match(a: list[str], b: list[str]) -> float | None:
     """Share of the shorter list's families that the other has, with slips; None if either has none."""
-    if not len(a) or not len(b):
+    if not a or not b:
         return None
     short, other = (a, b) if len(a) <= len(b) else (b, a)
-    pool = [set(f.split()) for f in other]
+    pool = {w for f in other for w in f.split()}
     hits = 0
     for f in short:
-        if any(w in p or any(len(w) > 4 and typos(w, x, 1) <= 1 for x in p) for w in f.split() for p in pool):
+        own = f.split()
+        if any(w in pool for w in own) or any(len(w) > 4 and any(abs(len(w) - len(x)) < 2 and typos(w, x, 1) <= 1 for x in pool) for w in own):
             hits += 1
     return hits / len(short)
 
 
-def confidence(x, y) -> float:
-    """0 to 1: how sure two descriptions are of one work (0.5 and more: a match)."""
-    if x["about"] != y["about"] or x["numbers"] != y["numbers"]:
-        return 0.0
-    if x["part"] != y["part"]:
-        return 0.0
-    title = title_match(list(x["words"]), list(y["words"]))
+def confidence(x: tuple, y: tuple) -> float:
+    """0 to 1: how sure two descriptions (FIELDS) of the same kind are of one work (MATCH and more: a match)."""
+    words_x, people_x, stock_x, venue_x, day_x = x
+    words_y, people_y, stock_y, venue_y, day_y = y
+    title = title_match(words_x.split(), words_y.split())
     if not title:
         return 0.0
-    who = authors_match(x["families"], y["families"])
-    days = abs(x["day"] - y["day"]) if pd.notna(x["day"]) and pd.notna(y["day"]) else None
-    if x["stock"] or y["stock"]:
-        # "introduction" and the like: authors and dates must tell
-        if title < 1 and not _slip("".join(x["words"]), "".join(y["words"])):
+    a, b = people_x.split("|") if people_x else [], people_y.split("|") if people_y else []
+    who = authors_match(a, b)
+    days = abs(day_x - day_y) if day_x is not None and day_y is not None else None
+    if stock_x or stock_y:
+        # "introduction" and the like: authors and dates, or venues and dates, must tell
+        if title < 1 and not _slip(words_x.replace(" ", ""), words_y.replace(" ", "")):
             return 0.0
-        if who is None or who < 0.5:
+        if who is None:
+            return 0.55 if days is not None and days <= SAME_DAYS and venue_x and venue_x == venue_y else 0.0
+        if who < 0.5:
             return 0.0
-        near = days is not None and (days <= NEAR_DAYS or _coarse(x["day"], y["day"]))
-        return 0.6 + 0.3 * who if near else 0.55 if days is None and who == 1 and min(len(x["families"]), len(y["families"])) > 1 else 0.0
+        near = days is not None and (days <= NEAR_DAYS or _coarse(day_x, day_y))
+        return 0.6 + 0.3 * who if near else 0.55 if days is None and who == 1 and min(len(a), len(b)) > 1 else 0.0
     if who is None:
-        return 0.5 + 0.4 * title if title >= 0.75 and min(len(x["words"]), len(y["words"])) >= 4 else 0.4 * title
+        sure = title >= 0.75 and min(words_x.count(" "), words_y.count(" ")) >= 3
+        return 0.5 + 0.4 * title if sure else min(0.45, 0.4 * title + (0.05 if venue_x and venue_x == venue_y else 0.0))
     if who == 0:
         return 0.0
-    far = days is not None and days > 400 and not _coarse(x["day"], y["day"])
+    far = days is not None and days > 400 and not _coarse(day_x, day_y)
     return min(1.0, 0.4 + 0.35 * title + 0.25 * who) * (0.9 if far else 1.0)
 
 
 def _coarse(a: int, b: int) -> bool:
     """Whether one date is a mere year or month that the other lies in."""
-    p, q = (pd.Timestamp(int(d), unit="D") for d in (a, b))
-    for one, other in ((p, q), (q, p)):
-        if one.day == 1 and one.year == other.year and (one.month == 1 or one.month == other.month):
-            return True
-    return False
-
+    p, q = date.fromordinal(_EPOCH + a), date.fromordinal(_EPOCH + b)
+    return any(one.day == 1 and one.year == other.year and (one.month == 1 or one.month == other.month) for one, other in ((p, q), (q, p)))
 
-def judged(pairs: DataFrame) -> DataFrame:
-    """(a, b, confidence) of pairs with both descriptions as structs x and y."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame({"a": p["a"], "b": p["b"], "confidence": [confidence(x, y) for x, y in zip(p["x"].tolist(), p["y"].tolist())]})
+#: Ids of pairs that are sent to all tasks, so that of the descriptions only theirs are shuffled.
+BROADCAST_IDS = 1_000_000
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    spread = pairs.select("a", "b", "x", "y").repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "a", "b")
-    return spread.mapInPandas(run, f"a {kind}, b {kind}, confidence double")
 
+def judged(pairs: DataFrame, told: DataFrame, ids: int | None = None) -> DataFrame:
+    """(a, b, confidence) of pairs of different descriptions of the same kind; ``told`` has their ids and FIELDS.
 
-FIELDS = ("words", "about", "part", "numbers", "stock", "families", "day")
+    ``ids``: an upper bound of the pairs, if known; up to BROADCAST_IDS the pairs' ids
+    go to every task and only descriptions in a pair are shuffled.
+    """
+    some = told.select("id", *FIELDS)
+    if ids is not None and ids <= BROADCAST_IDS:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        some = some.join(F.broadcast(wanted), "id", "left_semi")
+    out = pairs.select("a", "b")
+    for key, mark in (("a", "x_"), ("b", "y_")):
+        out = out.join(some.select(F.col("id").alias(key), *(F.col(f).alias(mark + f) for f in FIELDS)), key)
+    n, schema = len(FIELDS), T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("confidence", T.DoubleType())])
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            c = [p.column(i).to_pylist() for i in range(2, 2 + 2 * n)]
+            sure = [confidence(x, y) for x, y in zip(zip(*c[:n]), zip(*c[n:]))]
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(sure, pa.float64())], names=schema.names)
 
-#: Ids of pairs that are sent to all tasks, so that of the descriptions only theirs are shuffled.
-BROADCAST_IDS = 500_000
-
-
-def with_descriptions(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (a written table) with the descriptions of both as x and y."""
-    small = pairs.count() <= BROADCAST_IDS  # else Spark joins by shuffle
-    out = pairs
-    for key, name, told in (("a", "x", left), ("b", "y", right)):
-        side = told.select(F.col("id").alias(key), F.struct(*FIELDS).alias(name))
-        if small:
-            side = side.join(F.broadcast(pairs.select(key).distinct()), key, "left_semi")
-        out = out.join(side, key)
-    return out
+    return out.select("a", "b", *("x_" + f for f in FIELDS), *("y_" + f for f in FIELDS)).mapInArrow(run, schema)
