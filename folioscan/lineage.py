@@ -40,6 +40,12 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted when the driver's interpreter ends."""
+    _written.append((spark, path))
+    return path
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of :func:`cut` that no later step reads (columns may have been renamed or left out since)."""
     for table in tables:
