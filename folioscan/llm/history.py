@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
-
-from ..lineage import cut
-from .links import components
-from .works import described, judged, with_descriptions
-
-#: Distance up to which titles are near, as a count of letters that either has beyond the other.
-RADIUS = 6
-#: Rows of the history that are held at once in a cell of the pivot-distance table.
-BLOCK_ROWS = 32_768
-#: Widths of a cell in the first two pivot distances.
-CELLS = (8, 16)
+
+from ..lineage import keep, shared_dir
+from .cells import title_cells
+from .linkage import records
+from .links import components, star
+from .works import _LITTLE, MATCH, described, judged
+
+#: Views of a title that lie in the pivot table: all of it, its first and its last words.
+WHOLE, FRONT, BACK = 0, 1, 2
+#: Words of the first and of the last view.
+VIEW_WORDS = 4
+#: Distance up to which two titles are near in a view, as a count of letters that either has beyond the other.
+RADIUS = (6, 3, 3)
+#: Widths in the first pivot distance: of a stored range, of a cell within it.
+RANGE, CELL = 16, 8
+#: Rows from which on arrivals are accepted; smaller ones are accepted together with the next, with the same result.
+ACCEPT_ROWS = 10_000
+#: Stored slots of the keys that records can share exactly.
+SLOTS = 64
+#: First stored part of a view's ranges; parts below are slots.
+_PARTS = 1000
 #: Letters of the far pivots after the first.  A far pivot holds more of
 #: each of its letters than any title, so the distance to it is exact in the title's counts.
 PIVOTS = ("eisnhgmu", "enoclpdv", "atescfyb", "rinetpgw")
 _LETTERS = 28
+_NO_VIEW = 8
 
 
 def _pivot_signs() -> np.ndarray:
@@ -38,191 +49,219 @@ def _pivot_signs() -> np.ndarray:
 
 
 SIGNS = _pivot_signs()
+_P = [f"p{i}" for i in range(len(SIGNS))]
+
+
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """How often each text has each of a to z, digits, and others; spaces don't count."""
+    bare = [t.replace(" ", "") for t in texts]
+    codes = np.frombuffer("".join(bare).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(bare)), np.fromiter(map(len, bare), np.int64, len(bare)))
+    sign = np.where((codes >= 97) & (codes <= 122), codes - 97, np.where((codes >= 48) & (codes <= 57), 26, 27))
+    return np.bincount(row * _LETTERS + sign, minlength=len(bare) * _LETTERS).reshape(-1, _LETTERS)
+
 
+def views(words: str) -> tuple[str, str, str]:
+    """A title's words as a whole, its first ones and its last ones that say something."""
+    content = [w for w in words.split() if w not in _LITTLE]
+    return words, " ".join(content[:VIEW_WORDS]), " ".join(content[-VIEW_WORDS:])
 
-def _counts(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _LETTERS).astype(np.int32)
 
+def near(a: list[str], b: list[str], view: int) -> np.ndarray:
+    """Whether titles are within the radius of a view, by the true distance of their letters."""
+    x, y = (letter_counts([views(w)[view] for w in side]) for side in (a, b))
+    return np.abs(x - y).sum(axis=1) <= RADIUS[view]
 
-def pivot_table(described_: DataFrame) -> DataFrame:
-    """(id, letters, p0, p1, ...): the distances of each title to the fixed pivots; new rows are appended as they are."""
-    schema = T.StructType([described_.schema["id"], T.StructField("letters", T.BinaryType()), *(T.StructField(f"p{i}", T.IntegerType()) for i in range(len(SIGNS)))])
+
+def with_pivots(told: DataFrame) -> DataFrame:
+    """``told`` with the distances of each view of a title to the fixed pivots, as an array of arrays by view."""
+    schema = T.StructType([*told.schema.fields, T.StructField("pivots", T.ArrayType(T.ArrayType(T.ShortType())))])
+    at, kind = told.columns.index("words"), pa.list_(pa.list_(pa.int16()))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            d = _counts(part.column(1)) @ SIGNS.T
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(np.ascontiguousarray(x)) for x in d.T.astype(np.int32))], names=schema.names)
+            own = [views(w or "") for w in part.column(at).to_pylist()]
+            d = np.stack([letter_counts([v[i] for v in own]) @ SIGNS.T for i in range(len(RADIUS))], axis=1)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(d, -32768, 32767).astype(np.int16).tolist(), kind)], names=schema.names)
+
+    return told.mapInArrow(run, schema)
 
-    return described_.select("id", "letters").mapInArrow(run, schema)
 
+def _part(view, p0):
+    """The stored range that a distance to the first pivot lies in."""
+    return (_PARTS * (view + 1) + F.floor(p0 / RANGE)).cast("int")
 
-def near_titles(new: DataFrame, history: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): rows a of ``history`` and later rows b of ``new``, a < b, whose titles' letters differ by at most ``radius``.
 
-    Both are pivot tables.  The history lies in cells of its first two pivot distances;
-    a new row visits the cells that its own distances reach within the radius, and is
-    compared there: by the triangle inequality with all pivots, then by the metric.
+def pivot_rows(works: DataFrame) -> DataFrame:
+    """The pivot-distance table of described works: (part, key, id, tag, view, bare, p0, p1, ...), tag being the title.
+
+    A row for each view of a title and each author, as near titles of a kind must have an author in
+    common; and for its first and its last two words, where titles without authors
+    (``bare`` has a bit 1 for these rows, and 2 where there are no authors) are compared.
+    """
+    row = lambda key, view, bare: F.struct(key.alias("key"), F.lit(view).alias("view"), F.col("pivots")[view].alias("p"), bare.cast("int").alias("bare"))
+    of_people = F.flatten(F.transform("fs", lambda f: F.array(*(row(F.xxhash64("kind", f), v, F.lit(0)) for v in (WHOLE, FRONT, BACK)))))
+    first, last = (F.xxhash64(F.lit(side), "kind", F.element_at("ws", x), F.element_at("ws", y)) for side, x, y in (("first", 1, 2), ("last", -1, -2)))
+    alone = F.when(F.col("families") == "", 3).otherwise(1)
+    none = F.array().cast("array<struct<key:bigint,view:int,p:array<smallint>,bare:int>>")
+    of_words = F.when(F.size("ws") >= 2, F.array(row(first, FRONT, alone), row(last, BACK, alone))).otherwise(none)
+    rows = works.filter("not stock and own_title is not null").select("id", "own_title", F.explode(F.concat(of_people, of_words)).alias("r"))
+    return rows.select(_part(F.col("r.view"), F.col("r.p")[0]).alias("part"), "r.key", "id", F.col("own_title").alias("tag"), "r.view", "r.bare", *(F.col("r.p")[i].alias(p) for i, p in enumerate(_P)))
+
+
+def near_rows(asks: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, b, views): rows a of ``held`` and b of ``asks`` (pivot tables) of one key that no pivot tells apart.
+
+    A row asks the cells of the first pivot distance that its own reaches within the
+    radius; there the triangle inequality is tested for all pivots.  ``views`` has a bit
+    for each view in which a pair may be near.  Equal titles aren't compared.
     """
-    wide, high = CELLS
-    home = history.select(F.floor(F.col("p0") / wide).cast("int").alias("i"), F.floor(F.col("p1") / high).cast("int").alias("j"), F.lit(False).alias("asks"), *history.columns)
-    sizes = home.groupBy("i", "j").agg(F.count("*").alias("n"))
-    blocks = sizes.select("i", "j", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    radius = F.element_at(F.array(*map(F.lit, RADIUS)), F.col("view") + 1)
+    reach = F.explode(F.sequence(F.floor((F.col("p0") - radius) / CELL).cast("int"), F.floor((F.col("p0") + radius) / CELL).cast("int"))).alias("at")
+    x = asks.select("view", "key", reach, radius.alias("_r"), F.col("id").alias("b"), F.col("tag").alias("_tag"), F.col("bare").alias("_bare"), *(F.col(p).alias("_" + p) for p in _P))
+    y = held.select("view", "key", F.floor(F.col("p0") / CELL).cast("int").alias("at"), F.col("id").alias("a"), "tag", "bare", *_P)
+    both = y.join(x, ["view", "key", "at"]).filter("a <> b and tag <> _tag and (bare = 0 or bare = 3 or _bare = 3)")
+    for p in _P:
+        both = both.filter(F.abs(F.col(p) - F.col("_" + p)) <= F.col("_r"))
+    return both.select("a", "b", F.expr("shiftleft(1, view)").alias("views"))
+
+
+def _mark(name: str, *columns) -> F.Column:
+    return F.xxhash64(F.lit(name), *columns)
+
+
+def _keyed(df: DataFrame, key, tag=None) -> DataFrame:
+    """Rows of the keys that records can share, in the form of :func:`pivot_rows`; a null tag: equal keys are of one work."""
+    void = F.lit(None)
+    tag = void.cast("long") if tag is None else tag.cast("long")
+    told = df.select(key.alias("key"), "id", tag.alias("tag"))
+    return told.selectExpr(f"cast(pmod(key, {SLOTS}) as int) as part", "key", "id", "tag", "cast(null as int) as view", "cast(null as int) as bare", *(f"cast(null as short) as {p}" for p in _P))
+
+
+def shared_keys(told: DataFrame) -> DataFrame:
+    """Keys of what a described record says: the text itself, its title and an author, its title where nobody is named; cells of equal titles."""
+    titled = told.filter("not stock and own_title is not null")
+    cells = title_cells(told)
+    return (
+        _keyed(told, F.col("print")).unionByName(_keyed(titled.select("id", "own_title", F.explode("fs").alias("f")), _mark("author", "own_title", "f")))
+        .unionByName(_keyed(titled.filter("families = '' and size(split(words, ' ')) >= 4"), _mark("nobody", "own_title"))).unionByName(_keyed(cells, F.col("key"), F.col("tag")))
+    )
 
-    def reach(p: str, width: int):
-        return F.explode(F.sequence(F.floor((F.col(p) - radius) / width).cast("int"), F.floor((F.col(p) + radius) / width).cast("int")))
 
-    asks = new.withColumn("i", reach("p0", wide)).withColumn("j", reach("p1", high)).withColumn("asks", F.lit(True))
-    asks = asks.join(blocks, ["i", "j"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    home = home.join(blocks, ["i", "j"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    columns = ["i", "j", "block", "asks", "id", "letters"]
-    rows = home.select(columns).unionByName(asks.select(columns))
-    pair = T.StructType([T.StructField("a", history.schema["id"].dataType), T.StructField("b", history.schema["id"].dataType)])
+class History:
+    """Everything accepted so far, as tables that batches are held against and appended to.
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, ids, counts, pivots = None, [], None, None, None
-        for part in parts:
-            cell = np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)], axis=1)
-            edges = np.flatnonzero((np.diff(cell, axis=0, prepend=-9) != 0).any(axis=1))
-            for x, y in zip(edges, np.append(edges[1:], len(cell))):
-                own = part.slice(x, y - x)
-                if (at := tuple(cell[x, :3])) != now:
-                    now, held, ids = at, [], None
-                if not cell[x, 3]:
-                    held.append(own)
-                    continue
-                if ids is None:
-                    if not held:
-                        continue
-                    ids = np.concatenate([h.column(4).to_numpy(zero_copy_only=False) for h in held])
-                    counts = np.concatenate([_counts(h.column(5)) for h in held])
-                    pivots = (counts @ SIGNS.T).astype(np.int16)
-                    by = np.argsort(pivots[:, 1], kind="stable")
-                    ids, counts, pivots, held = ids[by], counts[by], pivots[by], []
-                asked, c = own.column(4).to_numpy(zero_copy_only=False), _counts(own.column(5))
-                found = _within(c, counts, (c @ SIGNS.T).astype(np.int16), pivots, radius)
-                a, b = ids[found[1]], asked[found[0]]
-                later = a < b
-                yield pa.RecordBatch.from_arrays([pa.array(a[later]), pa.array(b[later])], names=pair.names)
-
-    width = 4 * new.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(width, "i", "j", "block").sortWithinPartitions("i", "j", "block", "asks").mapInArrow(run, pair)
-
-
-def _within(asked: np.ndarray, held: np.ndarray, p: np.ndarray, q: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (asked, held) of rows within the radius; ``held`` is in the order of its second pivot distance."""
-    out_a, out_b = [], []
-    order = np.argsort(p[:, 1], kind="stable")
-    for i in range(0, len(order), 256):
-        some = order[i : i + 256]
-        low, high = np.searchsorted(q[:, 1], [p[some[0], 1] - radius, p[some[-1], 1] + radius + 1])
-        for j in range(low, high, 8192):
-            part = slice(j, min(high, j + 8192))
-            near = np.abs(p[some, 2][:, None] - q[part, 2]) <= radius
-            near &= np.abs(p[some, 0][:, None] - q[part, 0]) <= radius
-            a, b = np.nonzero(near)
-            for k in (1, *range(3, p.shape[1])):
-                keep = np.abs(p[some[a], k] - q[b + j, k]) <= radius
-                a, b = a[keep], b[keep]
-            keep = np.abs(asked[some[a]] - held[b + j]).sum(axis=1) <= radius
-            out_a.append(some[a[keep]])
-            out_b.append(b[keep] + j)
-    if not out_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(out_a), np.concatenate(out_b)
-
-
-def plain_doi(column):
-    """A DOI without resolver, label, case, escapes and trailing points; null if there is none."""
-    text = F.regexp_replace(F.lower(column), "%2f", "/")
-    found = F.regexp_extract(text, r"(10\.\d{4,}/\S+)", 1)
-    return F.nullif(F.regexp_replace(found, r"[.,;\s]+$", ""), F.lit(""))
-
-
-def plain_identifier(column):
-    return F.nullif(F.regexp_replace(F.lower(column), r"(?U)^\s+|\s+$", ""), F.lit(""))
-
-
-def _star(rows: DataFrame, *keys: str) -> DataFrame:
-    """Edges from the least id of equal keys to the others."""
-    some = rows.dropna(subset=list(keys)).select(*keys, "id").distinct()
-    least = some.groupBy(*keys).agg(F.min("id").alias("a"), F.count("*").alias("_n")).filter("_n > 1")
-    return some.join(least, list(keys)).filter("id <> a").select("a", F.col("id").alias("b"))
-
-
-def _chain(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Edges between neighbours, in an order, of rows with equal keys."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_a", F.lag("id").over(w)).filter("_a is not null and _a <> id").select(F.least("_a", "id").alias("a"), F.greatest("_a", "id").alias("b"))
-
-
-def work_classes(records: DataFrame, id_col: str, doi_col: str | None = "doi", identifier_col: str | None = "identifier", near: bool = True) -> DataFrame:
-    """(id, root): every record and the least id of the records of its work.
-
-    ``records`` has ``id_col``, title, authors, published and the columns named.
-    Records that say the same are one entry first.  Entries are linked by equal DOI,
-    equal identifier, equal words of title with an author in common, equal beginnings
-    with an author in common, and (``near``) by the pivot-distance table; all but the
-    first two are verified by words, authors and dates.
+    - ``works``: what each record says, with its pivot distances.
+    - ``cells``: the pivot-distance table, in parts by view and range of the first pivot
+      distance; and what records can share exactly (the text itself, DOI, identifier, title and
+      an author), in parts by slot of a hash.  Files are sorted by part and key.
+    - ``links``: (a, b) of records of one work.
 
-    Defined results: a null id is left out; null or empty DOI, identifier, title and
-    author list link nothing by themselves; repeated rows of an id are one record.
+    A batch reads the parts that its own rows reach (a pushed-down filter, so other pages are
+    skipped), and of ``works`` the records it may repeat; it rewrites nothing.
     """
-    return entries_and_classes(records, id_col, doi_col, identifier_col, near)[1]
-
-
-def entries_and_classes(records: DataFrame, id_col: str, doi_col: str | None, identifier_col: str | None, near: bool) -> tuple[DataFrame, DataFrame]:
-    """(what each different record says, the classes of :func:`work_classes`)."""
-    void = F.lit(None).cast("string")
-    doi = plain_doi(F.col(doi_col)) if doi_col else void
-    identifier = plain_identifier(F.col(identifier_col)) if identifier_col else void
-    said = ["doi", "identifier", "title", "authors", "published"]
-    rows = records.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), doi.alias("doi"), identifier.alias("identifier"), "title", "authors", F.to_date("published").alias("published"))
-    rows = rows.withColumn("print", F.xxhash64(*said))
-    reps = rows.groupBy("print").agg(F.min("id").alias("id"), F.min_by(F.struct(*said), "id").alias("r")).select("id", "print", "r.*")
-    told = cut(described(reps, "id", "print", "doi", "identifier"), "described")
-
-    titled = told.filter("sorted <> ''")
-    keys = ["sorted", "about", "part"]
-    coded = titled.select("id", F.xxhash64(*keys).alias("work"), F.xxhash64("sorted").alias("words"), F.when(F.length("head") == 24, F.xxhash64("head")).alias("head"), "day", "families")
-
-    def by_family(of: str) -> DataFrame:
-        """Rows per author of those entries that share their title or beginning with another."""
-        several = coded.groupBy(of).agg(F.count("*").alias("n")).filter(F.col(of).isNotNull() & (F.col("n") > 1)).select(of)
-        words = F.array_distinct(F.split(F.array_join("families", " "), " "))
-        rows = coded.join(several, of, "left_semi").select("id", of, "words", "day", F.explode(words).alias("family"))
-        return rows.filter("family <> ''").withColumn("family", F.xxhash64("family"))
-
-    alone = titled.filter("not stock").select("id", F.xxhash64(*keys).alias("work"), "numbers", "letters", F.length("sorted").alias("size"), F.size("families").alias("people"))
-    # a record without authors is held against all of its title
-    bare = alone.filter("people = 0").groupBy("work").agg(F.min("id").alias("a"))
-    headed = by_family("head")
-    guesses = (
-        _chain(by_family("work"), ["work", "family"], ["day", "id"])
-        .unionByName(_chain(headed, ["head", "family"], ["words", "id"]))
-        .unionByName(_star(headed, "head", "family"))
-        .unionByName(alone.join(bare, "work").filter("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")))
-    )
-    # titles without copies: one row of each different title asks and answers in the pivot table
-    single = alone.filter("size >= 12").groupBy("work", "numbers").agg(F.min("id").alias("id"), F.min("letters").alias("letters"))
-    if near:
-        table = cut(pivot_table(single), "pivots")
-        guesses = guesses.unionByName(near_titles(table, table))
-    guesses = cut(guesses.distinct(), "guesses")
-    sure = judged(with_descriptions(guesses, told, told)).filter("confidence >= 0.5").select("a", "b")
-    links = _star(told, "doi").unionByName(_star(told, "identifier")).unionByName(sure).distinct()
-    roots = components(told.select("id"), cut(links, "links"), "id")
-    back = told.select("id", "print").join(roots.select("id", "root"), "id").select("print", "root")
-    return told, rows.select("id", "print").distinct().join(back, "print").groupBy("id").agg(F.min("root").alias("root"))
 
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path, self.batches = spark, path or keep(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"), 0
+        self.reached: list[int] = []
+
+    def _append(self, df: DataFrame, name: str) -> DataFrame:
+        folder = f"{self.path}/{name}/batch={self.batches}"
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def _before(self, name: str, schema: T.StructType) -> DataFrame:
+        """A table without the batch that is being accepted."""
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{name}/batch={i}" for i in range(self.batches))) if self.batches else self.spark.createDataFrame([], schema)
+
+    def accept(self, rows: DataFrame) -> DataFrame:
+        """Hold a batch (as by :func:`linkage.records`) against everything accepted, append it, and return its links (a, b), a < b."""
+        rows = rows.withColumn("print", _mark("print", "title", "authors", "published", "venue"))
+        told = self._append(with_pivots(described(rows, "id", "print", "doi", "identifier")), "works")
+        cells = shared_keys(told).unionByName(pivot_rows(told))
+        known = [_keyed(told.filter(f"{c} is not null"), _mark(c, c)) for c in ("doi", "identifier")]
+        held = self._before("cells", cells.schema)
+        if self.batches:
+            # parts are few: slots, and ranges of bounded width of distances that grow with titles, not with rows
+            radius = F.element_at(F.array(*map(F.lit, RADIUS)), F.col("view") + 1)
+            asked = F.when(F.col("view").isNull(), F.array("part")).otherwise(F.array(*(_part(F.col("view"), F.col("p0") + x * radius) for x in (-1, 0, 1))))
+            everything = cells.unionByName(known[0]).unionByName(known[1])
+            self.reached = sorted(r[0] for r in everything.select(F.explode(asked).alias("part")).distinct().collect())
+            held = held.filter(F.col("part").isin(self.reached))
+        # what says the same as an accepted record, or one of the batch, is a link and nothing else
+        first = told.groupBy("print").agg(F.min("id").alias("first"))
+        seen = held.filter("tag is null").join(first.select(F.col("print").alias("key")), "key").groupBy(F.col("key").alias("print")).agg(F.min("id").alias("seen"))
+        first = first.join(seen, "print", "left").select("print", F.coalesce("seen", "first").alias("seen"))
+        again = told.select("id", "print").join(first, "print").filter("id <> seen")
+        copies = _keyed(again.select("id", F.col("seen").alias("key")), F.col("key")).withColumn("part", F.lit(-1))
+        kept = cells.join(again.select("id").distinct(), "id", "left_anti").select(cells.columns).unionByName(known[0]).unionByName(known[1]).unionByName(copies)
+        kept = self._append(kept.repartition("part").sortWithinPartitions("part", "key"), "cells")
+        copies, own = kept.filter("part = -1").select(F.col("key").alias("a"), F.col("id").alias("b")), kept.filter("part >= 0")
+
+        x = own.filter("view is null and tag is not null").select("key", F.col("id").alias("b"), F.col("tag").alias("_tag"))
+        y = held.unionByName(own).filter("view is null and tag is not null").select("key", F.col("id").alias("a"), "tag")
+        pairs = y.join(x, "key").filter("tag <> _tag and a <> b").select("a", "b", F.lit(_NO_VIEW).alias("views"))
+        close = near_rows(own.filter("view is not null"), held.unionByName(own).filter("view is not null"))
+        pairs = pairs.unionByName(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "views")
+        pairs = self._append(pairs.groupBy("a", "b").agg(F.bit_or("views").alias("views")), "pairs")
+
+        exact = own.filter("tag is null").select("key", "id")
+        met = held.filter("tag is null").select("key", F.col("id").alias("_held")).join(exact.groupBy("key").agg(F.min("id").alias("b")), "key").groupBy("key").agg(F.min("_held").alias("a"), F.first("b").alias("b")).select("a", "b")
+        works = self._before("works", told.schema).unionByName(told)
+        sure = judged(pairs, works, pairs.count(), "views", _verified).filter(f"confidence >= {MATCH}").select("a", "b")
+        links = star(exact, "key").unionByName(met).unionByName(copies).unionByName(sure)
+        out = self._append(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+        self.batches += 1
+        return out
+
+    def links(self) -> DataFrame:
+        """(a, b) of all batches."""
+        return self._before("links", T._parse_datatype_string("a long, b long"))
+
+
+def _verified(masks: list[int], a: list[str], b: list[str]) -> np.ndarray:
+    """Which pairs are near by the true distance in a view that the pivots left open, or are of one title."""
+    masks_ = np.array(masks, np.int64)
+    out = (masks_ & _NO_VIEW) > 0
+    for view in (WHOLE, FRONT, BACK):
+        at = np.flatnonzero(~out & ((masks_ >> view) & 1 > 0))
+        if len(at):
+            out[at] = near([a[i] for i in at], [b[i] for i in at], view)
+    return out
 
-def repeats(records: DataFrame, id_col: str, **how) -> DataFrame:
-    """(``accepted_id``, ``dup_id``): records whose work a record with a smaller id described, and the least such id."""
-    return work_classes(records, id_col, **how).filter("root <> id").select(F.col("root").alias("accepted_id"), F.col("id").alias("dup_id"))
 
+def repeats(candidates: DataFrame, id_col: str, batch_col: str | None = None, doi_col: str | None = "doi", identifier_col: str | None = "identifier", accept_rows: int = ACCEPT_ROWS) -> DataFrame:
+    """(``accepted_id``, ``dup_id``): records whose work a record with a smaller id described, and the least such id.
 
-def new_batch(batch: DataFrame, history: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Near titles of one arriving batch in the history's pivot table; the history is neither read in full rows nor rebuilt.
+    Method: the batches, in the order of ``batch_col`` (none: all rows are one batch), are
+    accepted one after the other by a :class:`History` (arrivals of under ``accept_rows``
+    together with the next).  A record is linked with accepted
+    ones that say the same, have its DOI or identifier, or its title and an author of
+    it; and with near titles, found in a table of the distances of titles to fixed
+    pivots (a metric: letters that either has beyond the other), pruned by the triangle
+    inequality in ranges of the first pivot distance, verified by the true distance, and
+    judged by words, authors and dates.
 
-    ``history`` is the stored pivot table; append ``pivot_table(described(batch))`` to it afterwards.
+    Defined results: a null id is left out; null or empty DOI, identifier, title and
+    author list link nothing by themselves; rows of a null batch come last; repeated
+    rows of an id are one record.
     """
-    return near_titles(pivot_table(batch), history, radius)
+    spark = candidates.sparkSession
+    history = History(spark)
+    if batch_col is None:
+        history.accept(records(candidates, id_col, doi_col, identifier_col))
+    else:
+        arrived = sorted(map(tuple, candidates.groupBy(batch_col).count().collect()), key=lambda n: (n[0] is None, n[0]))  # a row per arrival
+        now, held = [], 0
+        for i, (n, size) in enumerate(arrived):
+            now, held = [*now, n], held + size
+            if held >= accept_rows or i + 1 == len(arrived):
+                some = F.col(batch_col).isin([x for x in now if x is not None])
+                some = some | F.col(batch_col).isNull() if None in now else some
+                history.accept(records(candidates.filter(some), id_col, doi_col, identifier_col))
+                now, held = [], 0
+    if not history.batches:
+        return spark.createDataFrame([], "accepted_id long, dup_id long")
+    links = history.links()
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return components(nodes, links).filter("root <> node").select(F.col("root").alias("accepted_id"), F.col("node").alias("dup_id"))

@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from ..tables import table
 from .canonical import map_to_canonical
-try:
-    from .history import repeats
-except ImportError:
-    repeats = None
+from .history import repeats
 from .linkage import match_records
 from .names import link_names, name_pairs
 from .neighbours import neighbour_pairs
@@ -47,7 +44,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return repeats(table(spark, folder, "candidates", "cand_id", "doi", "identifier", "title", "authors", "published"), "cand_id")
+    return repeats(table(spark, folder, "candidates", "cand_id", "batch_no", "doi", "identifier", "title", "authors", "published", "venue"), "cand_id", "batch_no")
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
 
@@ -18,7 +18,7 @@ from .edits import typos
 from .names import parse
 
 #: What publishers and servers put before a title.
-_BEFORE = re.compile(r"^\W*(?:\[?\b(?:preprint|research article|original article|original paper|original research|full paper|article|paper)\b\s*[\]:]\s*)+")
+_BEFORE = re.compile(r"^\W*(?:\[?\b(?:preprint|research article|original article|original paper|original research|full paper|article|paper)\b\s*[\]:–—-]\s*)+")
 #: Beginnings that make a title the title of another work about it.
 _ABOUT = re.compile(r"^\W*(addendum|author correction|comment|commentary|corrections?|corrigendum|errata|erratum|expression of concern|publisher correction|rejoinder|reply|response|retraction|review)\b\s*(?:to|on|of|for|:|-)")
 _PART = re.compile(r"\b(?:part|pt|teil|partie|parte)\.?\s+([ivxl]+|\d+|one|two|three|four)\b")
@@ -51,6 +51,24 @@ def hashed(text: str) -> int:
 _hashed = lru_cache(maxsize=100_000)(hashed)
 
 
+@lru_cache(maxsize=100_000)
+def _short(text: str) -> int:
+    return (xxhash.xxh3_64_intdigest(text) & 0xFFFFFFFF) - (1 << 31)
+
+
+def ends(family: str) -> tuple[str, ...]:
+    """Beginning and end of a family word, of which one edit leaves one whole (of short words the word itself)."""
+    n = len(family)
+    if n < 4:
+        return (family,)
+    out = [family] if n == 4 else []
+    if n <= 7:
+        out += [family[:2] + "-", "-" + family[-2:]]
+    if n >= 7:
+        out += [family[:3] + "-", "-" + family[-3:]]
+    return tuple(out)
+
+
 @lru_cache(maxsize=150_000)
 def _family(name: str) -> str | None:
     r = parse(name)
@@ -69,7 +87,7 @@ def _venue(venue: str) -> str:
 
 
 def describe(title: str | None, authors, venue: str | None = None) -> tuple:
-    """(words, families, stock heading, venue, kind, title, content words, those of the first segment, family words).
+    """(words, families, stock heading, venue, kind, title, content words, those of the first segment, family words, their ends).
 
     Words and families are texts with a separator; ``kind`` is a hash of what must be equal (what the title
     is about another work, its part, its numbers), ``title`` one of the words in any order and the kind.
@@ -89,9 +107,11 @@ def describe(title: str | None, authors, venue: str | None = None) -> tuple:
     own = " ".join(sorted(w for w in words if w != "and"))
     first = len({w for w in _WORD.findall(text[: m.start()]) if w not in _LITTLE}) if (m := _SEGMENT.search(text)) else 0
     people = families(authors)
+    single = list(dict.fromkeys(w for f in people for w in f.split()))
     return (
         " ".join(words), "|".join(people), stock, _venue(venue) if venue else "", kind, hashed(f"{own}\x1f{kind}") if own else None,
-        [_hashed(w) for w in content], first if first < len(content) else 0, [_hashed(w) for w in dict.fromkeys(w for f in people for w in f.split())],
+        [_hashed(w) for w in content], first if first < len(content) else 0, [_hashed(w) for w in single],
+        list(dict.fromkeys(_short(e) for w in single for e in ends(w))),
     )
 
 
@@ -107,9 +127,9 @@ def described(df: DataFrame, id_col: str, *keep: str) -> DataFrame:
     asked = df.select(F.col(id_col).alias("id"), day.alias("day"), *keep, "title", "authors", venue.alias("venue"))
     kept = asked.schema.fields[: 2 + len(keep)]
     long_, string = T.LongType(), T.StringType()
-    told = [("words", string), ("families", string), ("stock", T.BooleanType()), ("venue", string), ("kind", long_), ("own_title", long_), ("ws", T.ArrayType(long_)), ("seg", T.IntegerType()), ("fs", T.ArrayType(long_))]
+    told = [("words", string), ("families", string), ("stock", T.BooleanType()), ("venue", string), ("kind", long_), ("own_title", long_), ("ws", T.ArrayType(long_)), ("seg", T.IntegerType()), ("fs", T.ArrayType(long_)), ("ends", T.ArrayType(T.IntegerType()))]
     schema = T.StructType([*kept, *(T.StructField(n, k) for n, k in told)])
-    kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64())]
+    kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
@@ -123,7 +143,9 @@ def described(df: DataFrame, id_col: str, *keep: str) -> DataFrame:
 def _slip(a: str, b: str) -> bool:
     n = min(len(a), len(b))
     most = 1 if n < 6 else 2
-    return n > 2 and abs(len(a) - len(b)) <= most and not (a.isdigit() or b.isdigit()) and typos(a, b, most) <= most
+    if n < 3 or abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most or a.isdigit() or b.isdigit():
+        return False
+    return typos(a, b, most) <= most
 
 
 def title_match(a: list[str], b: list[str]) -> float:
@@ -137,6 +159,14 @@ def title_match(a: list[str], b: list[str]) -> float:
             rest.remove(w)
         else:
             own.append(w)
+    mine, theirs = [w for w in own if w not in _LITTLE], [w for w in rest if w not in _LITTLE]
+    if mine and theirs:
+        # the side with fewer words of its own must have each as a slip, the cut beginning or a part of the other's
+        short, others = (mine, rest) if len(mine) <= len(theirs) else (theirs, own)
+        glued = "".join(w for w in others if w not in _LITTLE)
+        for w in short:
+            if not (w in glued or any(_slip(w, x) for x in others) or _slip(w, glued)):
+                return 0.0
     still = []
     for w in own:
         hit = next((x for x in rest if _slip(w, x)), None)
@@ -209,25 +239,31 @@ def _coarse(a: int, b: int) -> bool:
 BROADCAST_IDS = 1_000_000
 
 
-def judged(pairs: DataFrame, told: DataFrame, ids: int | None = None) -> DataFrame:
+def judged(pairs: DataFrame, told: DataFrame, ids: int | None = None, mark: str | None = None, passes: Callable | None = None) -> DataFrame:
     """(a, b, confidence) of pairs of different descriptions of the same kind; ``told`` has their ids and FIELDS.
 
     ``ids``: an upper bound of the pairs, if known; up to BROADCAST_IDS the pairs' ids
-    go to every task and only descriptions in a pair are shuffled.
+    go to every task and only descriptions in a pair are shuffled.  ``passes`` may tell
+    from a column ``mark`` and both titles' words which pairs are worth judging.
     """
-    some = told.select("id", *FIELDS)
+    some = told.select("id", *FIELDS, "ends")
     if ids is not None and ids <= BROADCAST_IDS:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         some = some.join(F.broadcast(wanted), "id", "left_semi")
-    out = pairs.select("a", "b")
-    for key, mark in (("a", "x_"), ("b", "y_")):
-        out = out.join(some.select(F.col("id").alias(key), *(F.col(f).alias(mark + f) for f in FIELDS)), key)
+    marks = [mark] if mark else []
+    out = pairs.select("a", "b", *marks)
+    for key, side in (("a", "x_"), ("b", "y_")):
+        out = out.join(some.select(F.col("id").alias(key), *(F.col(f).alias(side + f) for f in (*FIELDS, "ends"))), key)
+    # authors of which no two can be within one edit: refused whatever the titles
+    out = out.filter("x_families = '' or y_families = '' or arrays_overlap(x_ends, y_ends)")
     n, schema = len(FIELDS), T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("confidence", T.DoubleType())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
+            if passes:
+                p = p.filter(pa.array(passes(*(p.column(c).to_pylist() for c in (mark, "x_words", "y_words"))), pa.bool_()))
             c = [p.column(i).to_pylist() for i in range(2, 2 + 2 * n)]
             sure = [confidence(x, y) for x, y in zip(zip(*c[:n]), zip(*c[n:]))]
             yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(sure, pa.float64())], names=schema.names)
 
-    return out.select("a", "b", *("x_" + f for f in FIELDS), *("y_" + f for f in FIELDS)).mapInArrow(run, schema)
+    return out.select("a", "b", *("x_" + f for f in FIELDS), *("y_" + f for f in FIELDS), *marks).mapInArrow(run, schema)
