@@ -26,14 +26,18 @@ RADIUS = (6, 3, 3)
 #: Widths in the first pivot distance: of a stored range, of a cell within it.
 RANGE, CELL = 16, 8
 #: Rows from which on arrivals are accepted; smaller ones are accepted together with the next, with the same result.
-ACCEPT_ROWS = 10_000
+ACCEPT_ROWS = 5_000
+#: Rows of a batch's own cells that are sent to every task, so that the stored ones aren't moved; of more both sides are.
+BROADCAST_ROWS = 200_000
 #: Stored slots of the keys that records can share exactly.
 SLOTS = 64
 #: First stored part of a view's ranges; parts below are slots.
 _PARTS = 1000
-#: Letters of the far pivots after the first.  A far pivot holds more of
-#: each of its letters than any title, so the distance to it is exact in the title's counts.
-PIVOTS = ("eisnhgmu", "enoclpdv", "atescfyb", "rinetpgw")
+#: Pivots: the empty title, and far ones.  A far pivot holds more of each of its letters
+#: than any title, so the distance to it is exact in the title's counts.
+PIVOTS = 12
+#: Letters by how common they are, roughly; far pivot k has those whose place shares an odd number of bits with k.
+_BY_USE = "etaoinsrhldcumfpgwybvkxjqz"
 _LETTERS = 28
 _NO_VIEW = 8
 
@@ -41,15 +45,16 @@ _NO_VIEW = 8
 def _pivot_signs() -> np.ndarray:
     """Distances to the pivots, but for constants, as sums of the counts of letters:
     to the empty title the length, to a far pivot the other letters less its own."""
-    out = np.ones((1 + len(PIVOTS), _LETTERS), np.int32)
-    for i, letters in enumerate(PIVOTS):
-        for c in letters:
-            out[i + 1, ord(c) - 97] = -1
+    out = np.ones((PIVOTS, _LETTERS), np.int32)
+    for k in range(1, PIVOTS):
+        for place, c in enumerate(_BY_USE):
+            if (place & k).bit_count() % 2:
+                out[k, ord(c) - 97] = -1
     return out
 
 
 SIGNS = _pivot_signs()
-_P = [f"p{i}" for i in range(len(SIGNS))]
+_P = [f"p{i}" for i in range(PIVOTS)]
 
 
 def letter_counts(texts: list[str]) -> np.ndarray:
@@ -74,15 +79,17 @@ def near(a: list[str], b: list[str], view: int) -> np.ndarray:
 
 
 def with_pivots(told: DataFrame) -> DataFrame:
-    """``told`` with the distances of each view of a title to the fixed pivots, as an array of arrays by view."""
-    schema = T.StructType([*told.schema.fields, T.StructField("pivots", T.ArrayType(T.ArrayType(T.ShortType())))])
-    at, kind = told.columns.index("words"), pa.list_(pa.list_(pa.int16()))
+    """``told`` with the distances of each view of a title to the fixed pivots, as one array, view after view."""
+    schema = T.StructType([*told.schema.fields, T.StructField("pivots", T.ArrayType(T.ShortType()))])
+    at, width = told.columns.index("words"), len(RADIUS) * PIVOTS
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             own = [views(w or "") for w in part.column(at).to_pylist()]
             d = np.stack([letter_counts([v[i] for v in own]) @ SIGNS.T for i in range(len(RADIUS))], axis=1)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(d, -32768, 32767).astype(np.int16).tolist(), kind)], names=schema.names)
+            flat = pa.array(np.clip(d, -32768, 32767).astype(np.int16).ravel())
+            pivots = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * width), flat)
+            yield pa.RecordBatch.from_arrays([*part.columns, pivots], names=schema.names)
 
     return told.mapInArrow(run, schema)
 
@@ -99,7 +106,7 @@ def pivot_rows(works: DataFrame) -> DataFrame:
     common; and for its first and its last two words, where titles without authors
     (``bare`` has a bit 1 for these rows, and 2 where there are no authors) are compared.
     """
-    row = lambda key, view, bare: F.struct(key.alias("key"), F.lit(view).alias("view"), F.col("pivots")[view].alias("p"), bare.cast("int").alias("bare"))
+    row = lambda key, view, bare: F.struct(key.alias("key"), F.lit(view).alias("view"), F.slice("pivots", view * PIVOTS + 1, PIVOTS).alias("p"), bare.cast("int").alias("bare"))
     of_people = F.flatten(F.transform("fs", lambda f: F.array(*(row(F.xxhash64("kind", f), v, F.lit(0)) for v in (WHOLE, FRONT, BACK)))))
     first, last = (F.xxhash64(F.lit(side), "kind", F.element_at("ws", x), F.element_at("ws", y)) for side, x, y in (("first", 1, 2), ("last", -1, -2)))
     alone = F.when(F.col("families") == "", 3).otherwise(1)
@@ -109,8 +116,8 @@ def pivot_rows(works: DataFrame) -> DataFrame:
     return rows.select(_part(F.col("r.view"), F.col("r.p")[0]).alias("part"), "r.key", "id", F.col("own_title").alias("tag"), "r.view", "r.bare", *(F.col("r.p")[i].alias(p) for i, p in enumerate(_P)))
 
 
-def near_rows(asks: DataFrame, held: DataFrame) -> DataFrame:
-    """(a, b, views): rows a of ``held`` and b of ``asks`` (pivot tables) of one key that no pivot tells apart.
+def near_rows(asks: DataFrame, held: DataFrame, small: bool = False) -> DataFrame:
+    """(a, b, views): rows a of ``held`` and b of ``asks`` (pivot tables; ``small``: send them to every task) of one key that no pivot tells apart.
 
     A row asks the cells of the first pivot distance that its own reaches within the
     radius; there the triangle inequality is tested for all pivots.  ``views`` has a bit
@@ -120,7 +127,7 @@ def near_rows(asks: DataFrame, held: DataFrame) -> DataFrame:
     reach = F.explode(F.sequence(F.floor((F.col("p0") - radius) / CELL).cast("int"), F.floor((F.col("p0") + radius) / CELL).cast("int"))).alias("at")
     x = asks.select("view", "key", reach, radius.alias("_r"), F.col("id").alias("b"), F.col("tag").alias("_tag"), F.col("bare").alias("_bare"), *(F.col(p).alias("_" + p) for p in _P))
     y = held.select("view", "key", F.floor(F.col("p0") / CELL).cast("int").alias("at"), F.col("id").alias("a"), "tag", "bare", *_P)
-    both = y.join(x, ["view", "key", "at"]).filter("a <> b and tag <> _tag and (bare = 0 or bare = 3 or _bare = 3)")
+    both = y.join(F.broadcast(x) if small else x, ["view", "key", "at"]).filter("a <> b and tag <> _tag and (bare = 0 or bare = 3 or _bare = 3)")
     for p in _P:
         both = both.filter(F.abs(F.col(p) - F.col("_" + p)) <= F.col("_r"))
     return both.select("a", "b", F.expr("shiftleft(1, view)").alias("views"))
@@ -198,15 +205,17 @@ class History:
         kept = self._append(kept.repartition("part").sortWithinPartitions("part", "key"), "cells")
         copies, own = kept.filter("part = -1").select(F.col("key").alias("a"), F.col("id").alias("b")), kept.filter("part >= 0")
 
+        small = own.count() <= BROADCAST_ROWS
+        sent = F.broadcast if small else lambda df: df
         x = own.filter("view is null and tag is not null").select("key", F.col("id").alias("b"), F.col("tag").alias("_tag"))
         y = held.unionByName(own).filter("view is null and tag is not null").select("key", F.col("id").alias("a"), "tag")
-        pairs = y.join(x, "key").filter("tag <> _tag and a <> b").select("a", "b", F.lit(_NO_VIEW).alias("views"))
-        close = near_rows(own.filter("view is not null"), held.unionByName(own).filter("view is not null"))
+        pairs = y.join(sent(x), "key").filter("tag <> _tag and a <> b").select("a", "b", F.lit(_NO_VIEW).alias("views"))
+        close = near_rows(own.filter("view is not null"), held.unionByName(own).filter("view is not null"), small)
         pairs = pairs.unionByName(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "views")
         pairs = self._append(pairs.groupBy("a", "b").agg(F.bit_or("views").alias("views")), "pairs")
 
         exact = own.filter("tag is null").select("key", "id")
-        met = held.filter("tag is null").select("key", F.col("id").alias("_held")).join(exact.groupBy("key").agg(F.min("id").alias("b")), "key").groupBy("key").agg(F.min("_held").alias("a"), F.first("b").alias("b")).select("a", "b")
+        met = held.filter("tag is null").select("key", F.col("id").alias("_held")).join(sent(exact.groupBy("key").agg(F.min("id").alias("b"))), "key").groupBy("key").agg(F.min("_held").alias("a"), F.first("b").alias("b")).select("a", "b")
         works = self._before("works", told.schema).unionByName(told)
         sure = judged(pairs, works, pairs.count(), "views", _verified).filter(f"confidence >= {MATCH}").select("a", "b")
         links = star(exact, "key").unionByName(met).unionByName(copies).unionByName(sure)

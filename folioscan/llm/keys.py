@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 def plain_doi(column):
     """A DOI without resolver, label, case, escapes and trailing points; null if there is none."""
-    text = F.regexp_replace(F.lower(column), "%2f", "/")
-    found = F.regexp_extract(text, r"(10\.\d{4,}/\S+)", 1)
-    return F.nullif(F.regexp_replace(found, r"[.,;\s]+$", ""), F.lit(""))
+    text = F.replace(F.lower(column), F.lit("%2f"), F.lit("/"))
+    return F.nullif(F.rtrim(F.regexp_extract(text, r"(10\.\d{4,}/\S+)", 1), F.lit(".,;")), F.lit(""))
 
 
 def plain_identifier(column):

@@ -27,11 +27,10 @@ def records(df: DataFrame, id_col: str, doi_col: str | None = None, identifier_c
 
 
 def first_of_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records that are the first to say what they say, (id, first) of the others)."""
+    """(records that are the first to say what they say, (id, first, doi, identifier) of the others)."""
     rows = rows.withColumn("print", F.xxhash64("title", "authors", "published", "venue"))
-    first = rows.groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    copies = cut(rows.select("id", "print").join(first, "print").select("id", "first").distinct(), "copies")
-    copies = copies.filter("id <> first")
+    first = rows.groupBy("print").agg(F.min("id").alias("first"), F.max("id").alias("_last")).filter("first < _last").drop("_last")
+    copies = cut(rows.select("id", "print", "doi", "identifier").join(first, "print").filter("id <> first").select("id", "first", "doi", "identifier"), "copies")
     return rows.drop("print").join(copies.select("id"), "id", "left_anti"), copies
 
 
@@ -68,7 +67,7 @@ def refined(scored: DataFrame) -> DataFrame:
 def same_works(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, root) of records (as by :func:`records`) and the least id of their work; edges (a, b, confidence) behind it."""
     single, copies = first_of_copies(rows)
-    told = cut(described(single, "id"), "described")
+    told = cut(described(single, "id", "doi", "identifier"), "described")
     counts = word_counts(told)
     several = told.groupBy("own_title").agg(F.count("*").alias("n")).filter("n > 1 and own_title is not null").select("own_title")
     alike = cut(told.select("id", "own_title", "stock", "families", "venue", "day", "fs").join(several, "own_title", "left_semi"), "alike")
@@ -79,9 +78,10 @@ def same_works(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     scored = cut(judged(pairs, told, pairs.count()).filter(f"confidence >= {WEAK}"), "scored")
     edges = refined(scored).unionByName(sure.select("a", "b", F.lit(0.9).alias("confidence")))
     edges = cut(edges, "edges")
-    said = star(rows.select("id", "doi"), "doi").unionByName(star(rows.select("id", "identifier"), "identifier"))
+    marks = told.select("id", "doi", "identifier").unionByName(copies.select("id", "doi", "identifier"))
+    said = star(marks.select("id", "doi"), "doi").unionByName(star(marks.select("id", "identifier"), "identifier"))
     links = edges.select("a", "b").unionByName(said).unionByName(copies.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    return components(rows.select("id").distinct(), links, "id"), edges
+    return components(marks.select("id").distinct(), links, "id"), edges
 
 
 def match_records(left: DataFrame, right: DataFrame, left_id: str, right_id: str, doi_col: str | None = "doi", identifier_col: str | None = "identifier") -> DataFrame:
