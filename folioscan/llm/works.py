@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .canonical import plain
 from .edits import typos
-from .names import parse
+from .names import NOBODY, ORG_WORDS, PARTICLES, TITLES, fold, parse
 
 #: What publishers and servers put before a title.
 _BEFORE = re.compile(r"^\W*(?:\[?\b(?:preprint|research article|original article|original paper|original research|full paper|article|paper)\b\s*[\]:–—-]\s*)+")
@@ -53,7 +53,7 @@ _hashed = lru_cache(maxsize=100_000)(hashed)
 
 @lru_cache(maxsize=100_000)
 def _short(text: str) -> int:
-    return (xxhash.xxh3_64_intdigest(text) & 0xFFFFFFFF) - (1 << 31)
+    return (xxhash.xxh3_64_intdigest(text) & 0xFFFF) - (1 << 15)
 
 
 def ends(family: str) -> tuple[str, ...]:
@@ -69,8 +69,17 @@ def ends(family: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+#: The most usual form of a name, "Given Family" with or without an initial between; read without :func:`names.parse`, with the same result.
+_USUAL = re.compile(r"([A-Z][a-zà-öø-ÿ]+(?:-[A-Z][a-zà-öø-ÿ]+)?) ([A-Z]\. )?([A-Z][a-zà-öø-ÿ]{3,}(?:-[A-Z][a-zà-öø-ÿ]+)?)")
+_OTHER = ORG_WORDS | TITLES | PARTICLES
+
+
 @lru_cache(maxsize=150_000)
 def _family(name: str) -> str | None:
+    if m := _USUAL.fullmatch(name):
+        first, last = fold(m[1]).replace("-", ""), fold(m[3]).replace("-", "")
+        if first not in _OTHER and last not in _OTHER and f"{first} {last}" not in NOBODY and not any(w in ORG_WORDS for w in fold(name).replace("-", " ").split()):
+            return last if m[2] else f"{min(first, last)} {max(first, last)}"
     r = parse(name)
     return r[2] if r and r[1] else f"{min(r[2], r[6])} {max(r[2], r[6])}" if r else None
 
@@ -127,9 +136,9 @@ def described(df: DataFrame, id_col: str, *keep: str) -> DataFrame:
     asked = df.select(F.col(id_col).alias("id"), day.alias("day"), *keep, "title", "authors", venue.alias("venue"))
     kept = asked.schema.fields[: 2 + len(keep)]
     long_, string = T.LongType(), T.StringType()
-    told = [("words", string), ("families", string), ("stock", T.BooleanType()), ("venue", string), ("kind", long_), ("own_title", long_), ("ws", T.ArrayType(long_)), ("seg", T.IntegerType()), ("fs", T.ArrayType(long_)), ("ends", T.ArrayType(T.IntegerType()))]
+    told = [("words", string), ("families", string), ("stock", T.BooleanType()), ("venue", string), ("kind", long_), ("own_title", long_), ("ws", T.ArrayType(long_)), ("seg", T.IntegerType()), ("fs", T.ArrayType(long_)), ("ends", T.ArrayType(T.ShortType()))]
     schema = T.StructType([*kept, *(T.StructField(n, k) for n, k in told)])
-    kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int16())]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
