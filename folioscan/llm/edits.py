@@ -103,6 +103,13 @@ def typos(a: str, b: str, most: int) -> int:
     return before[len(b)]
 
 
+def _letters(words: list[str]) -> np.ndarray:
+    """Counts of the characters of each word in 32 classes."""
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    return np.bincount(row * 32 + flat % 32, minlength=32 * len(words)).reshape(-1, 32).astype(np.int16)
+
+
 class BKTree:
     """Words under the Levenshtein metric; children are held by their distance to the parent."""
 
@@ -113,6 +120,7 @@ class BKTree:
             return
         # words are let down the tree level by level, all of a node's words at once
         self.children = [{} for _ in self.words]
+        self.letters = _letters(self.words)
         table, sizes = codes(self.words)
         waiting = [(0, np.arange(1, len(self.words)))]
         while waiting:
@@ -126,14 +134,24 @@ class BKTree:
                 waiting.append((int(members[0]), members[1:]))
 
     def within(self, asked: list[str], radius: np.ndarray) -> list[tuple[int, int, int]]:
-        """(place in ``asked``, place in ``words``, distance) of every word within each asked word's radius."""
+        """(place in ``asked``, place in ``words``, distance) of every word within each asked word's radius.
+
+        A node's distance is only worked out for asked words that may be near it or one of
+        its children: each edit changes the length by one at most, and the counts of letters by two.
+        """
         out: list[tuple[int, int, int]] = []
         if not self.words or not asked:
             return out
         table, sizes = codes(asked)
+        letters = _letters(asked)
         waiting = [(0, np.arange(len(asked)))]
         while waiting:
             node, those = waiting.pop()
+            farthest = max(self.children[node], default=0)
+            least = np.maximum(np.abs(sizes[those] - len(self.words[node])), (np.abs(letters[those] - self.letters[node]).sum(axis=1) + 1) // 2)
+            those = those[least <= farthest + radius[those]]
+            if not len(those):
+                continue
             d = levenshtein_to(self.words[node], table[:, those], sizes[those])
             r = radius[those]
             out.extend((int(i), node, int(x)) for i, x in zip(those[d <= r], d[d <= r]))

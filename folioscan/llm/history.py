@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..lineage import keep, shared_dir
 from .cells import title_cells
-from .linkage import records
+from .linkage import records, said
 from .links import components, star
 from .works import _LITTLE, MATCH, described, judged
 
@@ -150,7 +150,7 @@ def shared_keys(told: DataFrame) -> DataFrame:
     titled = told.filter("not stock and own_title is not null")
     cells = title_cells(told)
     return (
-        _keyed(told, F.col("print")).unionByName(_keyed(titled.select("id", "own_title", F.explode("fs").alias("f")), _mark("author", "own_title", "f")))
+        _keyed(told.filter("print is not null"), F.col("print")).unionByName(_keyed(titled.select("id", "own_title", F.explode("fs").alias("f")), _mark("author", "own_title", "f")))
         .unionByName(_keyed(titled.filter("families = '' and size(split(words, ' ')) >= 4"), _mark("nobody", "own_title"))).unionByName(_keyed(cells, F.col("key"), F.col("tag")))
     )
 
@@ -183,7 +183,7 @@ class History:
 
     def accept(self, rows: DataFrame) -> DataFrame:
         """Hold a batch (as by :func:`linkage.records`) against everything accepted, append it, and return its links (a, b), a < b."""
-        rows = rows.withColumn("print", _mark("print", "title", "authors", "published", "venue"))
+        rows = rows.withColumn("print", said())
         told = self._append(with_pivots(described(rows, "id", "print", "doi", "identifier")), "works")
         cells = shared_keys(told).unionByName(pivot_rows(told))
         known = [_keyed(told.filter(f"{c} is not null"), _mark(c, c)) for c in ("doi", "identifier")]
@@ -196,7 +196,7 @@ class History:
             self.reached = sorted(r[0] for r in everything.select(F.explode(asked).alias("part")).distinct().collect())
             held = held.filter(F.col("part").isin(self.reached))
         # what says the same as an accepted record, or one of the batch, is a link and nothing else
-        first = told.groupBy("print").agg(F.min("id").alias("first"))
+        first = told.filter("print is not null").groupBy("print").agg(F.min("id").alias("first"))
         seen = held.filter("tag is null").join(first.select(F.col("print").alias("key")), "key").groupBy(F.col("key").alias("print")).agg(F.min("id").alias("seen"))
         first = first.join(seen, "print", "left").select("print", F.coalesce("seen", "first").alias("seen"))
         again = told.select("id", "print").join(first, "print").filter("id <> seen")

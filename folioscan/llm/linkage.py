@@ -26,10 +26,15 @@ def records(df: DataFrame, id_col: str, doi_col: str | None = None, identifier_c
     return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), doi.alias("doi"), identifier.alias("identifier"), "title", "authors", F.to_date("published").alias("published"), venue.alias("venue"))
 
 
+def said():
+    """A hash of what a record says; null without a title."""
+    return F.when(F.col("title").rlike(r"(?U)\S"), F.xxhash64("title", "authors", "published", "venue"))
+
+
 def first_of_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records that are the first to say what they say, (id, first, doi, identifier) of the others)."""
-    rows = rows.withColumn("print", F.xxhash64("title", "authors", "published", "venue"))
-    first = rows.groupBy("print").agg(F.min("id").alias("first"), F.max("id").alias("_last")).filter("first < _last").drop("_last")
+    """(records that are the first to say what they say, (id, first, doi, identifier) of the others); one without a title is no copy."""
+    rows = rows.withColumn("print", said())
+    first = rows.filter("print is not null").groupBy("print").agg(F.min("id").alias("first"), F.max("id").alias("_last")).filter("first < _last").drop("_last")
     copies = cut(rows.select("id", "print", "doi", "identifier").join(first, "print").filter("id <> first").select("id", "first", "doi", "identifier"), "copies")
     return rows.drop("print").join(copies.select("id"), "id", "left_anti"), copies
 
@@ -79,8 +84,8 @@ def same_works(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = refined(scored).unionByName(sure.select("a", "b", F.lit(0.9).alias("confidence")))
     edges = cut(edges, "edges")
     marks = told.select("id", "doi", "identifier").unionByName(copies.select("id", "doi", "identifier"))
-    said = star(marks.select("id", "doi"), "doi").unionByName(star(marks.select("id", "identifier"), "identifier"))
-    links = edges.select("a", "b").unionByName(said).unionByName(copies.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    named = star(marks.select("id", "doi"), "doi").unionByName(star(marks.select("id", "identifier"), "identifier"))
+    links = edges.select("a", "b").unionByName(named).unionByName(copies.select(F.col("first").alias("a"), F.col("id").alias("b")))
     return components(marks.select("id").distinct(), links, "id"), edges
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folioscan.llm import bpe, spans
 from folioscan.llm.canonical import map_to_canonical
 from folioscan.llm.edits import BKTree, codes, levenshtein_to, typos
-from folioscan.llm.history import near_titles, new_batch, pivot_table, repeats
+from folioscan.llm.history import repeats
 from folioscan.llm.linkage import match_records
 from folioscan.llm.links import components, within_one_edit
 from folioscan.llm.names import link_names, name_pairs, parse
@@ -189,21 +189,50 @@ ROWS = [
 def test_repeats(spark):
     df = records(spark, ROWS).withColumn("print", F.lit(1)).withColumn("root", F.lit("clash"))
     got = sorted(tuple(r) for r in repeats(df, "cand_id").collect())
-    # 10 and 11 say the very same (nothing), so they are one entry
-    assert got == [(1, 2), (1, 3), (1, 4), (7, 9), (10, 11)]
+    # 10 and 11 say nothing, which makes them no copies
+    assert got == [(1, 2), (1, 3), (1, 4), (7, 9)]
     assert repeats(df.filter("false"), "cand_id").count() == 0
+    # in batches, the one of a null number last, and a single row each
+    for batch in (F.when(F.col("cand_id") < 9, F.floor(F.col("cand_id") / 3)), F.col("cand_id"), -F.col("cand_id")):
+        parts = repeats(df.withColumn("batch_no", batch), "cand_id", "batch_no", accept_rows=1)
+        assert sorted(tuple(r) for r in parts.collect()) == got
 
 
 def test_near_titles_are_all_near(spark):
+    """The pivots lose no pair that is near in a view."""
+    from folioscan.llm import history
+
     rng = random.Random(3)
-    rows = [(i, None, None, "".join(rng.choice("aeinrst ") for _ in range(rng.randint(8, 14))), [], None) for i in range(200)]
-    told = described(records(spark, rows), "cand_id").cache()
-    table = pivot_table(told)
-    counts = {r.id: np.frombuffer(bytes(r.letters), np.uint8).astype(int) for r in told.collect()}
-    want = {(a, b) for a in counts for b in counts if a < b and np.abs(counts[a] - counts[b]).sum() <= 6}
-    assert {tuple(r) for r in near_titles(table, table).collect()} == want
-    later = {tuple(r) for r in new_batch(told.filter("id >= 150"), table.filter("id < 150")).collect()}
-    assert later == {(a, b) for a, b in want if a < 150 <= b}
+    titles = [" ".join(rng.choice(["", "a", "e"]) + rng.choice(["reef", "soil", "pond", "moor", "peat", "fen"]) for _ in range(rng.randint(1, 7))) for i in range(150)]
+    rows = [(i, None, None, t, ["A. Smith"] if i % 5 else [], None) for i, t in enumerate(titles)]
+    told = history.with_pivots(described(records(spark, rows), "cand_id")).cache()
+    assert history._P == [f"p{i}" for i in range(history.PIVOTS)]
+    table = history.pivot_rows(told)
+    got = {(r.a, r.b): r.views for r in history.near_rows(table, table).filter("a < b").groupBy("a", "b").agg(F.bit_or("views").alias("views")).collect()}
+    by = {r.id: r for r in told.collect()}
+    for a in by:
+        for b in by:
+            x, y = by[a], by[b]
+            if a < b and x.own_title != y.own_title and x.families and y.families and not x.stock and not y.stock:
+                want = sum(1 << v for v in range(3) if history.near([x.words], [y.words], v)[0])
+                assert want & got.get((a, b), 0) == want
+
+
+def test_a_batch_reads_what_it_reaches_and_appends(spark):
+    from folioscan.llm.history import History
+    from folioscan.llm.linkage import records as as_records
+
+    h = History(spark)
+    rows = [(i, None, None, f"Notes on {w} and their uses in the {w}", [f"A. {w}son"], "2020-01-01") for i, w in enumerate(["rivers", "lakes", "soils", "ponds", "fens"])]
+    h.accept(as_records(records(spark, rows), "cand_id"))
+    first = sorted(r.part for r in spark.read.parquet(f"{h.path}/cells/batch=0").select("part").distinct().collect())
+    links = h.accept(as_records(records(spark, [(9, None, None, "Notes on rivres and their uses in the rivers", ["A. Riversson"], None)]), "cand_id"))
+    assert [tuple(r) for r in links.collect()] == [(0, 9)]
+    assert set(first) - set(h.reached)
+    assert h.batches == 2 and spark.read.parquet(f"{h.path}/works/batch=1").count() == 1
+    # a copy is a link and no more
+    links = h.accept(as_records(records(spark, [(10, None, None, *rows[2][3:])]), "cand_id"))
+    assert [tuple(r) for r in links.collect()] == [(2, 10)]
 
 
 def test_match_records(spark):
@@ -265,13 +294,19 @@ def test_canonical(spark):
 
 
 def test_canonical_shards_agree(spark, monkeypatch):
+    """Initials of two entries, words that only other entries know, and entries of one shard that look like another's."""
     from folioscan.llm import canonical
 
-    titles = spark.createDataFrame([(i, f"Journal of {w} Studies") for i, w in enumerate(["Polar", "Coastal", "Marine", "Urban", "Solar"])], "venue_id long, title string")
-    df = spark.createDataFrame([("Jornal of Polar Studies",), ("J. of Urban Studies",), ("nothing",)], "venue string")
+    names = ["Journal of Polar Studies", "Journal of Coastal Studies", "Journal of Marine Studies", "Journal of Urban Studies", "Polar Reports Quarterly Annals", "Planetary Research Quantum Acta", "Polar Reports", "Solar Reports", "Polar Records", "Lunar Records"]
+    titles = spark.createDataFrame([*enumerate(names)], "venue_id long, title string")
+    typed = ["Jornal of Polar Studies", "J. of Urban Studies", "nothing", "PRQA", "Solar Records", "JMS", "Polar Reprots", "polar records", "  "]
+    df = spark.createDataFrame([(t,) for t in typed], "venue string")
     whole = {tuple(r) for r in map_to_canonical(df, "venue", titles, "venue_id", "title").collect()}
-    monkeypatch.setattr(canonical, "SHARD_ENTRIES", 2)
-    assert {tuple(r) for r in map_to_canonical(df, "venue", titles, "venue_id", "title").collect()} == whole
+    assert {t[0]: t[1] for t in whole} == {"Jornal of Polar Studies": 0, "J. of Urban Studies": 3, "nothing": -1, "PRQA": -1, "Solar Records": -1, "JMS": 2, "Polar Reprots": 6, "polar records": 8}
+    for size, asked in ((2, 2), (3, 100), (1, 1)):
+        monkeypatch.setattr(canonical, "SHARD_ENTRIES", size)
+        monkeypatch.setattr(canonical, "ASKED_ROWS", asked)
+        assert {tuple(r) for r in map_to_canonical(df, "venue", titles, "venue_id", "title").collect()} == whole
 
 
 # ---- 6 and 7 ----
