@@ -25,8 +25,8 @@ VIEW_WORDS = 4
 RADIUS = (6, 3, 3)
 #: Widths in the first pivot distance: of a stored range, of a cell within it.
 RANGE, CELL = 16, 8
-#: Rows from which on arrivals are accepted; smaller ones are accepted together with the next, with the same result.
-ACCEPT_ROWS = 5_000
+#: Arrivals are accepted together, with the same result, until they hold this share of what was accepted before.
+SHARE = 0.25
 #: Rows of a batch's own cells that are sent to every task, so that the stored ones aren't moved; of more both sides are.
 BROADCAST_ROWS = 200_000
 #: Stored slots of the keys that records can share exactly.
@@ -54,7 +54,6 @@ def _pivot_signs() -> np.ndarray:
 
 
 SIGNS = _pivot_signs()
-_P = [f"p{i}" for i in range(PIVOTS)]
 
 
 def letter_counts(texts: list[str]) -> np.ndarray:
@@ -78,16 +77,27 @@ def near(a: list[str], b: list[str], view: int) -> np.ndarray:
     return np.abs(x - y).sum(axis=1) <= RADIUS[view]
 
 
+#: Distances lie four by four in longs, in lanes of so many bits; what is beyond a lane's range is cut, which never hides a pair.
+LANE, LANES, _ZERO = 15, 4, 4096
+_LONGS = PIVOTS // LANES
+_Q = [f"q{i}" for i in range(_LONGS)]
+
+
+def _lanes(n: int) -> int:
+    return sum(n << (LANE * i) for i in range(LANES))
+
+
 def with_pivots(told: DataFrame) -> DataFrame:
-    """``told`` with the distances of each view of a title to the fixed pivots, as one array, view after view."""
-    schema = T.StructType([*told.schema.fields, T.StructField("pivots", T.ArrayType(T.ShortType()))])
-    at, width = told.columns.index("words"), len(RADIUS) * PIVOTS
+    """``told`` with the distances of each view of a title to the fixed pivots, as one array of longs, view after view."""
+    schema = T.StructType([*told.schema.fields, T.StructField("pivots", T.ArrayType(T.LongType()))])
+    at, width = told.columns.index("words"), len(RADIUS) * _LONGS
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             own = [views(w or "") for w in part.column(at).to_pylist()]
             d = np.stack([letter_counts([v[i] for v in own]) @ SIGNS.T for i in range(len(RADIUS))], axis=1)
-            flat = pa.array(np.clip(d, -32768, 32767).astype(np.int16).ravel())
+            lanes = np.clip(d + _ZERO, 0, 2 * _ZERO - 1).astype(np.int64).reshape(len(own), width, LANES)
+            flat = pa.array((lanes << (LANE * np.arange(LANES))).sum(axis=2).ravel())
             pivots = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * width), flat)
             yield pa.RecordBatch.from_arrays([*part.columns, pivots], names=schema.names)
 
@@ -100,20 +110,23 @@ def _part(view, p0):
 
 
 def pivot_rows(works: DataFrame) -> DataFrame:
-    """The pivot-distance table of described works: (part, key, id, tag, view, bare, p0, p1, ...), tag being the title.
+    """The pivot-distance table of described works: (part, key, id, tag, view, bare, p0, q0, q1, ...), tag being the title.
+
+    p0 is the distance to the first pivot, the q are all distances in lanes.
 
-    A row for each view of a title and each author, as near titles of a kind must have an author in
+    There is a row for each view of a title and each author, as near titles of a kind must have an author in
     common; and for its first and its last two words, where titles without authors
     (``bare`` has a bit 1 for these rows, and 2 where there are no authors) are compared.
     """
-    row = lambda key, view, bare: F.struct(key.alias("key"), F.lit(view).alias("view"), F.slice("pivots", view * PIVOTS + 1, PIVOTS).alias("p"), bare.cast("int").alias("bare"))
+    row = lambda key, view, bare: F.struct(key.alias("key"), F.lit(view).alias("view"), *(F.col("pivots")[view * _LONGS + i].alias(q) for i, q in enumerate(_Q)), bare.cast("int").alias("bare"))
     of_people = F.flatten(F.transform("fs", lambda f: F.array(*(row(F.xxhash64("kind", f), v, F.lit(0)) for v in (WHOLE, FRONT, BACK)))))
     first, last = (F.xxhash64(F.lit(side), "kind", F.element_at("ws", x), F.element_at("ws", y)) for side, x, y in (("first", 1, 2), ("last", -1, -2)))
     alone = F.when(F.col("families") == "", 3).otherwise(1)
-    none = F.array().cast("array<struct<key:bigint,view:int,p:array<smallint>,bare:int>>")
+    none = F.array().cast("array<struct<key:bigint,view:int," + ",".join(f"{q}:bigint" for q in _Q) + ",bare:int>>")
     of_words = F.when(F.size("ws") >= 2, F.array(row(first, FRONT, alone), row(last, BACK, alone))).otherwise(none)
     rows = works.filter("not stock and own_title is not null").select("id", "own_title", F.explode(F.concat(of_people, of_words)).alias("r"))
-    return rows.select(_part(F.col("r.view"), F.col("r.p")[0]).alias("part"), "r.key", "id", F.col("own_title").alias("tag"), "r.view", "r.bare", *(F.col("r.p")[i].alias(p) for i, p in enumerate(_P)))
+    rows = rows.select("id", F.col("own_title").alias("tag"), "r.*").withColumn("p0", F.expr(f"cast((q0 & {2 * _ZERO - 1}) - {_ZERO} as int)"))
+    return rows.select(_part(F.col("view"), F.col("p0")).alias("part"), "key", "id", "tag", "view", "bare", "p0", *_Q)
 
 
 def near_rows(asks: DataFrame, held: DataFrame, small: bool = False) -> DataFrame:
@@ -125,11 +138,15 @@ def near_rows(asks: DataFrame, held: DataFrame, small: bool = False) -> DataFram
     """
     radius = F.element_at(F.array(*map(F.lit, RADIUS)), F.col("view") + 1)
     reach = F.explode(F.sequence(F.floor((F.col("p0") - radius) / CELL).cast("int"), F.floor((F.col("p0") + radius) / CELL).cast("int"))).alias("at")
-    x = asks.select("view", "key", reach, radius.alias("_r"), F.col("id").alias("b"), F.col("tag").alias("_tag"), F.col("bare").alias("_bare"), *(F.col(p).alias("_" + p) for p in _P))
-    y = held.select("view", "key", F.floor(F.col("p0") / CELL).cast("int").alias("at"), F.col("id").alias("a"), "tag", "bare", *_P)
-    both = y.join(F.broadcast(x) if small else x, ["view", "key", "at"]).filter("a <> b and tag <> _tag and (bare = 0 or bare = 3 or _bare = 3)")
-    for p in _P:
-        both = both.filter(F.abs(F.col(p) - F.col("_" + p)) <= F.col("_r"))
+    x = asks.select("view", "key", reach, "id", "tag", "bare", *_Q).select(F.xxhash64("view", "key", "at").alias("cell"), F.col("id").alias("b"), F.col("tag").alias("_tag"), F.col("bare").alias("_bare"), *(F.col(q).alias("_" + q) for q in _Q))
+    y = held.select(F.xxhash64("view", "key", F.floor(F.col("p0") / CELL).cast("int")).alias("cell"), F.col("id").alias("a"), "tag", "bare", "view", *_Q)
+    both = y.join(F.broadcast(x) if small else x, "cell").filter("a <> b and tag <> _tag and (bare = 0 or bare = 3 or _bare = 3)")
+    # all lanes at once: a difference is within the radius r if it and r together are from 0 to 2 r, and what is
+    # above the next power of two is seen in the bits that are left, borrowed ones included
+    by_view = lambda of: "case " + " ".join(f"when view = {v} then {of(r)}L" for v, r in enumerate(RADIUS)) + " end"
+    some, rest = by_view(_lanes), by_view(lambda r: _lanes((1 << (2 * r).bit_length()) - 1))
+    for q in _Q:
+        both = both.filter(f"(({q} - _{q} + {some}) & ~({rest})) = 0")
     return both.select("a", "b", F.expr("shiftleft(1, view)").alias("views"))
 
 
@@ -142,7 +159,7 @@ def _keyed(df: DataFrame, key, tag=None) -> DataFrame:
     void = F.lit(None)
     tag = void.cast("long") if tag is None else tag.cast("long")
     told = df.select(key.alias("key"), "id", tag.alias("tag"))
-    return told.selectExpr(f"cast(pmod(key, {SLOTS}) as int) as part", "key", "id", "tag", "cast(null as int) as view", "cast(null as int) as bare", *(f"cast(null as short) as {p}" for p in _P))
+    return told.selectExpr(f"cast(pmod(key, {SLOTS}) as int) as part", "key", "id", "tag", "cast(null as int) as view", "cast(null as int) as bare", "cast(null as int) as p0", *(f"cast(null as long) as {q}" for q in _Q))
 
 
 def shared_keys(told: DataFrame) -> DataFrame:
@@ -239,12 +256,12 @@ def _verified(masks: list[int], a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-def repeats(candidates: DataFrame, id_col: str, batch_col: str | None = None, doi_col: str | None = "doi", identifier_col: str | None = "identifier", accept_rows: int = ACCEPT_ROWS) -> DataFrame:
+def repeats(candidates: DataFrame, id_col: str, batch_col: str | None = None, doi_col: str | None = "doi", identifier_col: str | None = "identifier", share: float = SHARE) -> DataFrame:
     """(``accepted_id``, ``dup_id``): records whose work a record with a smaller id described, and the least such id.
 
     Method: the batches, in the order of ``batch_col`` (none: all rows are one batch), are
-    accepted one after the other by a :class:`History` (arrivals of under ``accept_rows``
-    together with the next).  A record is linked with accepted
+    accepted one after the other by a :class:`History` (arrivals wait until they hold a
+    ``share`` of what was accepted, so that all of them together cost a few passes; 0: each by itself).  A record is linked with accepted
     ones that say the same, have its DOI or identifier, or its title and an author of
     it; and with near titles, found in a table of the distances of titles to fixed
     pivots (a metric: letters that either has beyond the other), pruned by the triangle
@@ -261,14 +278,14 @@ def repeats(candidates: DataFrame, id_col: str, batch_col: str | None = None, do
         history.accept(records(candidates, id_col, doi_col, identifier_col))
     else:
         arrived = sorted(map(tuple, candidates.groupBy(batch_col).count().collect()), key=lambda n: (n[0] is None, n[0]))  # a row per arrival
-        now, held = [], 0
+        now, held, accepted = [], 0, 0
         for i, (n, size) in enumerate(arrived):
             now, held = [*now, n], held + size
-            if held >= accept_rows or i + 1 == len(arrived):
+            if held >= share * accepted or i + 1 == len(arrived):
                 some = F.col(batch_col).isin([x for x in now if x is not None])
                 some = some | F.col(batch_col).isNull() if None in now else some
                 history.accept(records(candidates.filter(some), id_col, doi_col, identifier_col))
-                now, held = [], 0
+                now, held, accepted = [], 0, accepted + held
     if not history.batches:
         return spark.createDataFrame([], "accepted_id long, dup_id long")
     links = history.links()

@@ -9,7 +9,7 @@ from ..lineage import cut
 from .cells import pairs_of_cells, title_cells, word_cells, word_counts
 from .keys import plain_doi, plain_identifier
 from .links import components, star
-from .works import MATCH, WEAK, described, judged
+from .works import MATCH, WEAK, described, judged, of_ids
 
 #: What a like neighbour adds to a weak pair, of the likeness it passes on.
 PASSED_ON = 0.5
@@ -75,7 +75,8 @@ def same_works(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = cut(described(single, "id", "doi", "identifier"), "described")
     counts = word_counts(told)
     several = told.groupBy("own_title").agg(F.count("*").alias("n")).filter("n > 1 and own_title is not null").select("own_title")
-    alike = cut(told.select("id", "own_title", "stock", "families", "venue", "day", "fs").join(several, "own_title", "left_semi"), "alike")
+    again = cut(told.select("id", "own_title").join(several, "own_title", "left_semi").select("id"), "again")
+    alike = cut(of_ids(told.select("id", "own_title", "stock", "families", "venue", "day", "fs"), again), "alike")
     # equal titles with an author in common need no judging
     sure = cut(star(alike.filter("not stock").select("id", F.explode("fs").alias("f"), "own_title"), "own_title", "f"), "sure")
     cells = word_cells(told, counts).unionByName(title_cells(alike))

@@ -244,10 +244,17 @@ def _coarse(a: int, b: int) -> bool:
     return any(one.day == 1 and one.year == other.year and (one.month == 1 or one.month == other.month) for one, other in ((p, q), (q, p)))
 
 
-#: Ids of pairs that are sent to all tasks, so that of the descriptions only theirs are shuffled.
+#: Ids that are sent to all tasks to pick their rows, so that others aren't moved.
 BROADCAST_IDS = 1_000_000
 
 
+def of_ids(told: DataFrame, ids: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows of ``told`` with an ``id`` in ``ids``, a written table; ``most``: as many ids it has at most."""
+    few = (ids.count() if most is None else most) <= BROADCAST_IDS
+    some = ids.select("id").distinct()
+    return told.join(F.broadcast(some) if few else some, "id", "left_semi")
+
+
 def judged(pairs: DataFrame, told: DataFrame, ids: int | None = None, mark: str | None = None, passes: Callable | None = None) -> DataFrame:
     """(a, b, confidence) of pairs of different descriptions of the same kind; ``told`` has their ids and FIELDS.
 
@@ -256,9 +263,8 @@ def judged(pairs: DataFrame, told: DataFrame, ids: int | None = None, mark: str
     from a column ``mark`` and both titles' words which pairs are worth judging.
     """
     some = told.select("id", *FIELDS, "ends")
-    if ids is not None and ids <= BROADCAST_IDS:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        some = some.join(F.broadcast(wanted), "id", "left_semi")
+    if ids is not None:
+        some = of_ids(some, pairs.select(F.explode(F.array("a", "b")).alias("id")), ids)
     marks = [mark] if mark else []
     out = pairs.select("a", "b", *marks)
     for key, side in (("a", "x_"), ("b", "y_")):
