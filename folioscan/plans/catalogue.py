@@ -12,7 +12,7 @@ from ..functions import text, values
 from ..operators import dedupe as dd
 from ..operators import library as lib
 from ..operators import policy, profile, rank, vectors
-from ..settings import Scoring
+from ..settings import FEEDS, Feed, Scoring, Sources
 from ..sources import feeds, mappers
 from ..tables import table
 from . import pipeline
@@ -23,6 +23,8 @@ AS_OF = "2024-03-01 00:00:00"
 DIM = 64
 SCORING = Scoring(decay_days={"fast": 30, "medium": 180, "slow": 720}, whitelist_authors=["Gaël Jestubashak", "PRIYA R. NASHUSHOFI"], whitelist_venues=["advances in industrial agronomy"])
 
+SOURCES = Sources(feeds={n: Feed(enabled=n in ("crossref", "arxiv", "biorxiv")) for n in FEEDS})
+
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -190,7 +192,7 @@ def source_union(s, d):
 
 @query
 def enabled_source_rows(s, d):
-    wanted = SCORING and ["crossref", "arxiv", "biorxiv"]
+    wanted = SOURCES.enabled()
     return candidates(s, d, "source").withColumn("source", F.lower("source")).filter(F.col("source").isin(wanted)).groupBy("source").agg(F.count("*").alias("n"))
 
 
@@ -389,9 +391,8 @@ def push_notes(s, d):
 @query
 def watch_flagship(s, d):
     works, items = candidates(s, d), library(s, d)
-    held = items.filter((F.size("embedding") == DIM) & F.exists("embedding", lambda x: x != 0)).select(vectors.unit("embedding").alias("v"))
-    asked = table(s, d, "embeddings", "vec_id", "embedding").withColumnRenamed("vec_id", "cand_id")
-    similarity = vectors.nearest_similarity(asked, held, "cand_id", "embedding", "v", DIM)
+    held, _ = pipeline.build_profile(items.select("item_id", "title", "abstract", "creators", "tags", "publication_title"), "item_id", "publication_title", as_of())
+    similarity = pipeline.similarity_of(works, held, "cand_id", vectors.HASHED_SIZE)
     ranked = pipeline.watch(works, items, similarity, "cand_id", table(s, d, "venues"), "venue_id", SCORING, as_of(), days=400, n=50)
     return ranked.select("cand_id", "source", "title", F.round("score", 6).alias("score"), "label")
 

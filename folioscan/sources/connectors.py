@@ -107,10 +107,33 @@ def queries_of(source: str, since: str, until: str, mailto: str = "", categories
     raise ValueError(f"no feed {source!r}")
 
 
+def deleted_keys(base: str, since: int | None, headers: dict[str, str], fetch=get) -> list[str]:
+    """Keys of items deleted since a version of the library; none if it was never read."""
+    if since is None:
+        return []
+    return (json.loads(fetch(f"{base}/deleted?since={since}", headers).body or "{}") or {}).get("items", [])
+
+
+def collection_key(base: str, name: str, headers: dict[str, str], fetch=get, post: Callable[[str, dict[str, str], object], dict] | None = None) -> str:
+    """The key of the library's collection of a name, which is made if there is none."""
+    for c in json.loads(fetch(f"{base}/collections", headers).body):
+        if c.get("data", {}).get("name") == name:
+            return c["data"]["key"]
+    made = (post or send_json)(f"{base}/collections", headers, [{"name": name}])
+    return made["successful"]["0"]["key"]
+
+
+def send_json(url: str, headers: dict[str, str], body: object) -> dict:
+    request = urllib.request.Request(url, data=json.dumps(body).encode(), headers=headers | {"Content-Type": "application/json"}, method="POST")
+    with urllib.request.urlopen(request, timeout=30) as r:
+        return json.loads(r.read().decode("utf-8") or "{}")
+
+
 class PagesSource(DataSource):
     """``spark.read.format("feed_pages").option("url", ...)``: (page int, body string).
 
-    Options: ``url``; ``kind``: single (default), links or offsets; ``page_size``; ``delay``; ``since``.
+    Options: ``url``; ``kind``: single (default), links or offsets; ``page_size``; ``delay``; ``since``;
+    ``headers`` and ``query``: JSON objects.
     """
 
     @classmethod
@@ -133,18 +156,17 @@ class PagesReader(DataSourceReader):
 
     def read(self, partition) -> Iterator[tuple[int, str]]:
         o, size = self.options, int(self.options.get("page_size", 100))
-        kind = o.get("kind", "single")
+        headers, query, kind = json.loads(o.get("headers", "{}")), json.loads(o.get("query", "{}")), o.get("kind", "single")
         if kind == "links":
             since = int(o["since"]) if o.get("since") else None
-            for i, r in enumerate(library_pages(o["url"], since, size, {}, float(o.get("delay", 0.2)))):
+            for i, r in enumerate(library_pages(o["url"], since, size, headers, float(o.get("delay", 0.2)))):
                 yield i, r.body
         elif kind == "offsets":
-            for i, page in enumerate(offset_pages(o["url"], {}, size, {})):
+            for i, page in enumerate(offset_pages(o["url"], query, size, headers)):
                 yield i, json.dumps(page)
         else:
-            if "arxiv" in o["url"]:
-                time.sleep(ATOM_DELAY)
-            r = get(o["url"])
+            time.sleep(float(o.get("delay", 0)))
+            r = get(o["url"], headers)
             if "rate exceeded" in r.body.lower():
                 raise ConnectionError("the feed's rate limit is exceeded")
             yield 0, r.body

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from .. import schemas
 from ..functions.values import iso_utc, parse_date
 from . import mappers
 
+log = logging.getLogger(__name__)
+
 #: Age up to which cached candidates are used.
 CACHE_HOURS = 12
 TOP_VENUES = 20
@@ -117,19 +120,25 @@ def fetch_all(fetchers: list[Callable[[], DataFrame]], extra: Callable[[], DataF
     return (union(parts) if parts else None), bool(parts) and not failed
 
 
-def write_cache(works: DataFrame, path: str) -> None:
-    """Candidates as JSON lines with ISO dates."""
-    works.withColumn("published", iso_utc("published")).write.mode("overwrite").json(path)
+def write_cache(works: DataFrame, path: str, fetched_at: datetime) -> bool:
+    """Candidates as JSON lines with ISO dates, and when they were fetched; False, with a warning, if they can't be written."""
+    try:
+        works.withColumn("published", iso_utc("published")).write.mode("overwrite").json(f"{path}/candidates")
+        works.sparkSession.createDataFrame([(fetched_at.astimezone(UTC).isoformat(),)], "fetched_at string").write.mode("overwrite").json(f"{path}/fetched")
+    except Exception as e:  # a cache that can't be written costs the next run its requests, not this one its result
+        log.warning("the candidates couldn't be kept in %s: %s", path, e)
+        return False
+    return True
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
-    """Cached candidates; None where there are none to read."""
-    schema = schemas.CANDIDATE
-    text = [(f.name, "string" if f.name == "published" else f.dataType.simpleString()) for f in schema if f.name != "ord"]
+def read_cache(spark: SparkSession, path: str) -> tuple[datetime, DataFrame] | None:
+    """(when they were fetched, cached candidates); None where there are none to read, or it isn't known from when they are."""
+    text = [(f.name, "string" if f.name == "published" else f.dataType.simpleString()) for f in schemas.CANDIDATE if f.name != "ord"]
     try:
-        rows = spark.read.schema(", ".join(f"{n} {t}" for n, t in text)).json(path)
+        when = spark.read.schema("fetched_at string").json(f"{path}/fetched").first()
+        rows = spark.read.schema(", ".join(f"{n} {t}" for n, t in text)).json(f"{path}/candidates")
+        fetched = datetime.fromisoformat(when[0])
     except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    return rows.withColumn("published", parse_date("published"))
+        log.warning("no candidates could be read from %s: %s", path, str(e).split("\n")[0])
+        return None
+    return fetched if fetched.tzinfo else fetched.replace(tzinfo=UTC), rows.withColumn("published", parse_date("published"))

@@ -1,6 +1,7 @@
 """Landed payloads through the mappers, the journal list, and the streaming ingest."""
 
 import json
+from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
@@ -67,9 +68,13 @@ def test_journals_and_venues(spark, tmp_path):
 
 def test_cache(spark, tmp_path):
     works = spark.createDataFrame([("s", "i", "t", None, ["a"], None, None, None, "v", {"m": 1.0}, "{}")], "source string, identifier string, title string, abstract string, authors array<string>, doi string, url string, published timestamp, venue string, metrics map<string,double>, extra string")
-    feeds.write_cache(works, str(tmp_path / "cache"))
-    assert feeds.read_cache(spark, str(tmp_path / "cache")).first().asDict() == works.first().asDict()
+    at = datetime(2024, 3, 1, 12, tzinfo=UTC)
+    assert feeds.write_cache(works, str(tmp_path / "cache"), at)
+    fetched, again = feeds.read_cache(spark, str(tmp_path / "cache"))
+    assert fetched == at and again.first().asDict() == works.first().asDict()
     assert feeds.read_cache(spark, str(tmp_path / "none")) is None
+    (tmp_path / "file").write_text("x")
+    assert not feeds.write_cache(works, str(tmp_path / "file"), at)
 
 
 def test_streaming_ingest(spark, tmp_path):
