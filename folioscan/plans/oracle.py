@@ -130,3 +130,51 @@ ORACLE: dict[str, str] = {
  nullif(abstract, '') AS abstract_text, CASE WHEN len(authors) > 0 THEN array_to_string(authors, ', ') ELSE 'Unknown' END AS authors_text FROM ({_SCORED}) WHERE NOT isnan(score)""",
     "push_notes": """SELECT '{"itemType":"note","note":"Recommended due to score ' || printf('%.3f', (cand_id % 7) / 8.0) || '","tags":[{"tag":"Literature watch"},{"tag":"consider"}],"collections":["AI Suggested"]}' AS note FROM candidates""",
 }
+
+
+def _sets(name: str, rows: str) -> str:
+    """CTE: different titles of ``rows`` (column title) as sets of words, with their letters."""
+    letters = "list_transform(range(0, 64), lambda i: len(list_filter(string_split(array_to_string(ws, ' '), ''), lambda c: unicode(c) % 64 = i)))"
+    return f"""{name} AS MATERIALIZED (SELECT t, ws, array_to_string(ws, ' ') AS j, {letters} AS h FROM
+ (SELECT t, list_sort(list_distinct(list_filter(string_split(t, ' '), lambda w: w <> ''))) AS ws FROM (SELECT DISTINCT title AS t FROM ({rows}) WHERE title <> '')) WHERE len(ws) > 0)"""
+
+
+def _common_letters(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two texts: a row of the table for each letter of ``a``."""
+    row = f"list_transform(range(1, len({b}) + 1), lambda k: list_max(list_transform(range(1, k + 1), lambda m: greatest(acc[m], (CASE WHEN m > 1 THEN acc[m - 1] ELSE 0 END) + (CASE WHEN x[1] = unicode({b}[m]) THEN 1 ELSE 0 END)))))"
+    steps = f"list_concat([list_transform(range(0, len({b})), lambda z: 0::BIGINT)], list_transform(string_split({a}, ''), lambda c: [unicode(c)::BIGINT]))"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE coalesce(list_max(list_reduce({steps}, lambda acc, x: {row})), 0) END"
+
+
+def _alike(name: str, left: str, right: str, only: str) -> str:
+    """CTEs: (a, b) of two CTEs of :func:`_sets` whose token-set ratio is 0.9 or more."""
+    return f"""{name}_all AS MATERIALIZED (SELECT x.t AS a, y.t AS b, x.ws AS xw, y.ws AS yw, len(x.j) AS m, len(y.j) AS n, list_intersect(x.ws, y.ws) AS c,
+  list_sum(list_transform(range(1, 65), lambda i: least(x.h[i], y.h[i]))) AS l FROM {left} x, {right} y WHERE {only}),
+ {name}_some AS MATERIALIZED (SELECT *, len(array_to_string(list_sort(c), ' ')) AS s, array_to_string(list_sort(list_filter(xw, lambda w: NOT list_contains(yw, w))), ' ') AS p,
+  array_to_string(list_sort(list_filter(yw, lambda w: NOT list_contains(xw, w))), ' ') AS q FROM {name}_all WHERE 2 * l >= 0.9 * (m + n) OR (len(c) > 0 AND (len(c) = len(xw) OR len(c) = len(yw) OR 2 * (list_sum(list_transform(c, lambda w: len(w))) + len(c) - 1) >= 0.9 * (list_sum(list_transform(c, lambda w: len(w))) + len(c) - 1 + least(m, n))))),
+ {name} AS MATERIALIZED (SELECT a, b FROM {name}_some WHERE CASE WHEN len(c) > 0 AND (p = '' OR q = '') THEN TRUE
+  WHEN len(c) > 0 AND greatest(2.0 * s / (s + m), 2.0 * s / (s + n)) * 100 / 100 >= 0.9 THEN TRUE
+  WHEN 2 * l < 0.9 * (m + n) THEN FALSE
+  ELSE 2.0 * ((CASE WHEN len(c) > 0 THEN s + 1 ELSE 0 END) + {_common_letters("p", "q")}) / (m + n) >= 0.9 END)"""
+
+
+_LIBRARY_TITLES = f"SELECT {title('title')} AS title FROM items"
+ORACLE["anti_library_title"] = f"""WITH w AS MATERIALIZED (SELECT cand_id, {title('title')} AS title FROM candidates),
+ {_sets("cs", "SELECT title FROM w")}, {_sets("ls", _LIBRARY_TITLES)}, {_alike("near", "cs", "ls", "TRUE")}
+ SELECT cand_id FROM w WHERE title NOT IN (SELECT a FROM near)"""
+
+ORACLE["greedy_dedupe"] = f"""WITH RECURSIVE lib AS MATERIALIZED (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY item_key ORDER BY item_id DESC) = 1),
+ w AS MATERIALIZED (SELECT cand_id, nullif({ident('doi')}, '') AS doi, {ident('identifier')} AS k, {title('title')} AS title FROM candidates),
+ fresh0 AS MATERIALIZED (SELECT * FROM w WHERE (doi IS NULL OR doi NOT IN (SELECT {ident('doi')} FROM lib WHERE {ident('doi')} <> ''))
+  AND k NOT IN (SELECT {ident('url')} FROM lib WHERE url IS NOT NULL AND url <> '')),
+ {_sets("cs", "SELECT title FROM fresh0")}, {_sets("ls", f"SELECT {title('title')} AS title FROM lib")}, {_alike("known", "cs", "ls", "TRUE")},
+ fresh AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY cand_id) AS i FROM fresh0 WHERE title NOT IN (SELECT a FROM known)),
+ {_sets("fs", "SELECT title FROM fresh")}, {_alike("near", "fs", "fs", "x.t < y.t")},
+ either_way AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near UNION ALL SELECT t, t FROM fs),
+ keys AS MATERIALIZED (SELECT i, k AS e FROM fresh WHERE k IS NOT NULL UNION SELECT i, doi FROM fresh WHERE doi IS NOT NULL),
+ meets AS MATERIALIZED (SELECT DISTINCT y.i, x.i AS o FROM keys x JOIN keys y ON x.e = y.e AND x.i < y.i
+  UNION SELECT DISTINCT y.i, x.i FROM either_way JOIN fresh x ON x.title = either_way.a JOIN fresh y ON y.title = either_way.b WHERE x.i < y.i),
+ earlier AS MATERIALIZED (SELECT fresh.i, coalesce(list(o) FILTER (o IS NOT NULL), []) AS os FROM fresh LEFT JOIN meets ON meets.i = fresh.i GROUP BY fresh.i),
+ walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
+  SELECT earlier.i, CASE WHEN list_has_any(walk.kept, earlier.os) THEN walk.kept ELSE list_append(walk.kept, earlier.i) END FROM walk JOIN earlier ON earlier.i = walk.i + 1)
+ SELECT cand_id FROM fresh WHERE i IN (SELECT unnest(kept) FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1))"""
