@@ -26,7 +26,7 @@ RADIUS = (6, 3, 3)
 #: Widths in the first pivot distance: of a stored range, of a cell within it.
 RANGE, CELL = 16, 8
 #: Arrivals are accepted together, with the same result, until they hold this share of what was accepted before.
-SHARE = 0.25
+SHARE = 0.5
 #: Rows of a batch's own cells that are sent to every task, so that the stored ones aren't moved; of more both sides are.
 BROADCAST_ROWS = 200_000
 #: Stored slots of the keys that records can share exactly.
@@ -194,9 +194,9 @@ class History:
         df.write.parquet(folder)
         return self.spark.read.schema(df.schema).parquet(folder)
 
-    def _before(self, name: str, schema: T.StructType) -> DataFrame:
+    def _before(self, name: str, like: DataFrame) -> DataFrame:
         """A table without the batch that is being accepted."""
-        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{name}/batch={i}" for i in range(self.batches))) if self.batches else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(like.schema).parquet(*(f"{self.path}/{name}/batch={i}" for i in range(self.batches))) if self.batches else like.filter("false")
 
     def accept(self, rows: DataFrame) -> DataFrame:
         """Hold a batch (as by :func:`linkage.records`) against everything accepted, append it, and return its links (a, b), a < b."""
@@ -204,7 +204,7 @@ class History:
         told = self._append(with_pivots(described(rows, "id", "print", "doi", "identifier")), "works")
         cells = shared_keys(told).unionByName(pivot_rows(told))
         known = [_keyed(told.filter(f"{c} is not null"), _mark(c, c)) for c in ("doi", "identifier")]
-        held = self._before("cells", cells.schema)
+        held = self._before("cells", cells)
         if self.batches:
             # parts are few: slots, and ranges of bounded width of distances that grow with titles, not with rows
             radius = F.element_at(F.array(*map(F.lit, RADIUS)), F.col("view") + 1)
@@ -233,7 +233,7 @@ class History:
 
         exact = own.filter("tag is null").select("key", "id")
         met = held.filter("tag is null").select("key", F.col("id").alias("_held")).join(sent(exact.groupBy("key").agg(F.min("id").alias("b"))), "key").groupBy("key").agg(F.min("_held").alias("a"), F.first("b").alias("b")).select("a", "b")
-        works = self._before("works", told.schema).unionByName(told)
+        works = self._before("works", told).unionByName(told) if self.batches else told
         sure = judged(pairs, works, pairs.count(), "views", _verified).filter(f"confidence >= {MATCH}").select("a", "b")
         links = star(exact, "key").unionByName(met).unionByName(copies).unionByName(sure)
         out = self._append(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
@@ -242,7 +242,7 @@ class History:
 
     def links(self) -> DataFrame:
         """(a, b) of all batches."""
-        return self._before("links", T._parse_datatype_string("a long, b long"))
+        return self.spark.read.schema("a long, b long").parquet(*(f"{self.path}/links/batch={i}" for i in range(self.batches)))
 
 
 def _verified(masks: list[int], a: list[str], b: list[str]) -> np.ndarray:
