@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..lineage import cut
 
@@ -19,6 +20,8 @@ SAMPLE_ROWS, MOST_LISTS = 65_536, 16_384
 LISTS_PER_ROOT, PROBES, GROUPS = 1.6, 32, 3
 #: Lists of a group, rows of a block of a group.
 GROUP_LISTS, BLOCK_ROWS = 48, 65_536
+#: Rows of one vector that are answered in one task.
+HOT_ROWS = 100_000
 #: Columns of a block of the rotated vectors.
 COLUMNS = 16
 #: Normal quantile of the test that abandons a candidate: about one in a hundred of
@@ -220,11 +223,10 @@ def nearest_neighbours(
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.column(0).take(pa.array(good)), pa.array(vec, pa.binary())], names=entry.names)
 
     rows = cut(base.mapInArrow(read, entry), "vectors")
-    # of equal vectors the k+1 smallest ids, by salted parts first
-    first = rows.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.array_sort(F.collect_set("id")).alias("ids"), F.any_value("vec").alias("vec"))
-    first = first.select("key", "vec", F.slice("ids", 1, k + 1).alias("ids"))
-    first = first.groupBy("key").agg(F.any_value("vec").alias("vec"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    classes = cut(first, "classes")
+    # of equal vectors the k+1 smallest ids: a limit of each group that is applied before anything is moved
+    by_id = Window.partitionBy("key").orderBy("id")
+    first = rows.withColumn("_n", F.row_number().over(by_id)).filter(F.col("_n") <= k + 1)
+    classes = cut(first.groupBy("key").agg(F.any_value("vec").alias("vec"), F.array_sort(F.array_distinct(F.collect_list("id"))).alias("ids")), "classes")
     count = classes.count()
     out = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("neighbour_id", T.LongType()), T.StructField("similarity", T.DoubleType())])
     if not count:
@@ -232,11 +234,12 @@ def nearest_neighbours(
     sample = classes.orderBy("key").select("vec").limit(SAMPLE_ROWS).toArrow().column(0).combine_chunks()  # keys are hashes
     index = Index(_unit(_vectors(sample, dim)).astype(np.float32), count)
 
-    routed = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("asks", T.BooleanType()), *classes.schema, T.StructField("lists", T.BinaryType())])
+    routed = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("task", T.IntegerType()), T.StructField("asks", T.BooleanType()), *classes.schema, T.StructField("lists", T.BinaryType())])
     sizes = {r[0]: r[1] for r in _home_sizes(classes, index, dim).collect()}  # one row per group of the bounded index
     blocks = np.ones(int(index.group.max()) + 1, np.int64)
     for g, n in sizes.items():
         blocks[g] = -(-n // BLOCK_ROWS)
+    before = np.concatenate([[0], np.cumsum(blocks)[:-1]])
 
     def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -255,8 +258,9 @@ def nearest_neighbours(
                             for b in range(blocks[g]):
                                 row.append([i]), cell.append([g]), block.append([b]), asks.append([True]), held.append(own)
                 take = pa.array(np.concatenate(row))
+                cells, parts_ = np.concatenate(cell).astype(np.int32), np.concatenate(block).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(block).astype(np.int32)), pa.array(np.concatenate(asks)), *(some.column(c).take(take) for c in range(3)), pa.array(held, pa.binary())],
+                    [pa.array(cells), pa.array(parts_), pa.array((before[cells] + parts_).astype(np.int32)), pa.array(np.concatenate(asks)), *(some.column(c).take(take) for c in range(3)), pa.array(held, pa.binary())],
                     names=routed.names,
                 )
 
@@ -285,9 +289,16 @@ def nearest_neighbours(
 
     spread = classes.mapInArrow(route, routed)
     width = max(1, int(blocks.sum()))
-    stream = spread.repartition(width, "cell", "block").sortWithinPartitions("cell", "block", "asks")
+    # a task for each block of a group, as groups are of about equal numbers of rows
+    stream = spread.repartitionById(width, "task").drop("task").sortWithinPartitions("cell", "block", "asks")
     merged = stream.mapInArrow(answer, answered).groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
-    members = rows.select("key", "id").join(merged, "key")
+    # vectors of very many rows are answered in several tasks
+    hot = rows.groupBy("key").agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("copies")).filter("copies > 1")
+    hot = cut(hot, "hot")  # a row for HOT_ROWS rows at most
+    copies = F.coalesce("copies", F.lit(1))
+    members = rows.select("key", "id").join(hot, "key", "left").select("key", "id", F.pmod(F.xxhash64("id"), copies).cast("int").alias("copy"))
+    merged = merged.join(hot, "key", "left").select("key", "near", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    members = members.join(merged, ["key", "copy"])
     others = members.select("id", F.posexplode(F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)).alias("rank", "x"))
     return others.select(F.col("id").alias(id_col), (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.id").alias("neighbour_id"), (-F.col("x.far")).alias("similarity"))
 
