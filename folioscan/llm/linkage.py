@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, drop
+from . import links
 from .cells import pairs_of_cells, title_cells, word_cells, word_counts
 from .keys import plain_doi, plain_identifier
 from .links import components, star
@@ -39,32 +44,61 @@ def first_of_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("print").join(copies.select("id"), "id", "left_anti"), copies
 
 
+def _lifted(edges: list[tuple]) -> Iterator[tuple]:
+    """(a, b, confidence) of a bounded number of edges (a, b, own) after the rounds of :func:`refined`."""
+    near: dict[int, dict[int, float]] = defaultdict(dict)
+    for a, b, own in edges:
+        near[a][b] = near[b][a] = max(own, near[a].get(b, 0.0))
+    own = {(a, b): near[a][b] for a, b, _ in edges}
+    weak = [e for e, c in own.items() if c < MATCH]
+    moved = True
+    while moved:
+        new = {}
+        for a, b in weak:
+            rest = 1.0
+            for c in near[a].keys() & near[b].keys():
+                rest *= 1 - PASSED_ON * min(near[a][c], near[b][c])
+            new[a, b] = 1 - (1 - own[a, b]) * rest
+        moved = any(c - near[a][b] > STABLE for (a, b), c in new.items())
+        for (a, b), c in new.items():
+            near[a][b] = near[b][a] = c
+    for a, b in own:
+        yield a, b, near[a][b]
+
+
 def refined(scored: DataFrame) -> DataFrame:
-    """Edges (a, b, confidence) of MATCH and more, after confidences have spread until they are stable.
+    """Edges (a, b, confidence) of MATCH and more, after confidences have spread until they are stable; ``scored`` is a written table, a < b.
 
     A pair too weak by itself is lifted by each neighbour c that both are like: its
     confidence becomes 1 - (1 - own) * product of (1 - PASSED_ON * min(of a and c, of c
     and b)).  All weak pairs are updated in a round; rounds end when none changes by
     more than STABLE, which must happen as confidences only rise and stay below 1.
+    Up to ONE_TASK_EDGES edges take their rounds in one task.
     """
+    if scored.count() <= links.ONE_TASK_EDGES:
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            edges = [e for p in parts for e in zip(*(c.to_pylist() for c in p.columns))]
+            rows = [e for e in _lifted(edges) if e[2] >= MATCH]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "confidence"])
+
+        return scored.select("a", "b", "confidence").repartition(1).mapInArrow(run, "a long, b long, confidence double")
     now = scored.select("a", "b", "confidence", F.col("confidence").alias("own"))
-    if not now.filter(f"own < {MATCH}").limit(1).count():
-        return now.select("a", "b", "confidence")
     weak = now.filter(f"own < {MATCH}").select("a", "b")
     ends = cut(weak.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "ends")
     # only edges at a weak pair's ends matter, and no others change
     near = cut(now.join(ends.withColumnRenamed("n", "a"), "a", "left_semi").unionByName(now.join(ends.withColumnRenamed("n", "b"), "b", "left_semi")).distinct(), "near")
-    while True:
-        both = near.select("a", "b", "confidence").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "confidence")).distinct()
+    moved = True
+    while moved:
+        both = near.select("a", "b", "confidence").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "confidence"))
         of_a = both.select("a", F.col("b").alias("c"), F.col("confidence").alias("p"))
         of_b = both.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("confidence").alias("q"))
         lifts = weak.join(of_a, "a").join(of_b, ["b", "c"]).groupBy("a", "b").agg(F.sum(F.log1p(-PASSED_ON * F.least("p", "q"))).alias("lift"))
         lifted = near.join(lifts, ["a", "b"], "left").withColumn("_new", F.when(F.col("own") < MATCH, 1 - (1 - F.col("own")) * F.exp(F.coalesce("lift", F.lit(0.0)))).otherwise(F.col("own")))
         lifted = cut(lifted.select("a", "b", "confidence", "own", "_new"), "lifted")
-        moved = lifted.filter(F.abs(F.col("_new") - F.col("confidence")) > STABLE).limit(1).count()
+        moved = lifted.filter(F.col("_new") - F.col("confidence") > STABLE).limit(1).count()
+        drop(near)
         near = lifted.select("a", "b", F.col("_new").alias("confidence"), "own")
-        if not moved:
-            break
     risen = near.filter(f"own < {MATCH} and confidence >= {MATCH}").select("a", "b", "confidence")
     return now.filter(f"own >= {MATCH}").select("a", "b", "confidence").unionByName(risen)
 
@@ -77,17 +111,19 @@ def same_works(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = told.groupBy("own_title").agg(F.count("*").alias("n")).filter("n > 1 and own_title is not null").select("own_title")
     again = cut(told.select("id", "own_title").join(several, "own_title", "left_semi").select("id"), "again")
     alike = cut(of_ids(told.select("id", "own_title", "stock", "families", "venue", "day", "fs"), again), "alike")
-    # equal titles with an author in common need no judging
-    sure = cut(star(alike.filter("not stock").select("id", F.explode("fs").alias("f"), "own_title"), "own_title", "f"), "sure")
+    # equal titles with an author in common need no judging, nor do equal DOIs and identifiers
+    marks = told.select("id", "doi", "identifier").unionByName(copies.select("id", "doi", "identifier"))
+    keys = alike.filter("not stock").select("id", "own_title", F.explode("fs").alias("f")).select(F.xxhash64(F.lit("author"), "own_title", "f").alias("key"), "id")
+    for c in ("doi", "identifier"):
+        keys = keys.unionByName(marks.filter(f"{c} is not null").select(F.xxhash64(F.lit(c), c).alias("key"), "id"))
+    sure = star(cut(keys, "keys"), "key")
     cells = word_cells(told, counts).unionByName(title_cells(alike))
     pairs = cut(pairs_of_cells(cells, told, counts), "pairs")
     scored = cut(judged(pairs, told, pairs.count()).filter(f"confidence >= {WEAK}"), "scored")
     edges = refined(scored).unionByName(sure.select("a", "b", F.lit(0.9).alias("confidence")))
     edges = cut(edges, "edges")
-    marks = told.select("id", "doi", "identifier").unionByName(copies.select("id", "doi", "identifier"))
-    named = star(marks.select("id", "doi"), "doi").unionByName(star(marks.select("id", "identifier"), "identifier"))
-    links = edges.select("a", "b").unionByName(named).unionByName(copies.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    return components(marks.select("id").distinct(), links, "id"), edges
+    joined = edges.select("a", "b").unionByName(copies.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    return components(marks.select("id").distinct(), joined, "id"), edges
 
 
 def match_records(left: DataFrame, right: DataFrame, left_id: str, right_id: str, doi_col: str | None = "doi", identifier_col: str | None = "identifier") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,16 +53,49 @@ def star(rows: DataFrame, *keys: str) -> DataFrame:
     return some.join(least, list(keys)).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
+#: Edges up to which components are found in one task; of more in rounds.
+ONE_TASK_EDGES = 500_000
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """(n, root) of a bounded number of edges (a, b) by union-find."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def root(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]  # paths are halved
+                x = up
+            return x
+
+        for part in parts:
+            for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                x, y = root(a), root(b)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, edge_type), pa.array([root(n) for n in nodes], edge_type)], names=["n", "root"])
+
+    edge_type = pa.string() if kind == "string" else pa.int64()
+    return edges.select("a", "b").repartition(1).mapInArrow(run, f"n {kind}, root {kind}")
+
+
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
-    """(``node``, ``root``): the least node that each node is connected with; ``edges`` has columns a and b.
+    """(``node``, ``root``): the least node that each node is connected with; ``edges`` has columns a and b (longs or strings).
 
-    Least labels spread over the edges and over their own labels (so paths shrink by
-    half a round), each round written to a table and the one before it dropped.  Only
-    whether a round changed something goes to the driver; rounds go on until none does.
-    Nodes without edges are their own root.
+    Up to ONE_TASK_EDGES edges are joined in one task.  Of more, least labels spread over
+    the edges and over their own labels (so paths shrink by half a round), each round
+    written to a table and the one before it dropped; only whether a round changed
+    something goes to the driver, and rounds go on until none does.  Nodes without edges
+    are their own root.
     """
-    both = edges.select("a", "b").filter("a <> b")
-    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    given = cut(edges.select("a", "b").filter("a <> b"), "edges")
+    if given.count() <= ONE_TASK_EDGES:
+        labels = cut(_in_one_task(given), "labels")
+        return nodes.join(labels.select(F.col("n").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))
+    both = cut(given.unionByName(given.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     changed = True
     while changed:

@@ -151,7 +151,11 @@ def test_segment_join_finds_all(spark):
     assert got == {(a, b) for a in long for b in long if a < b and swaps(a, b) <= 1}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_components(spark, monkeypatch, most):
+    from folioscan.llm import links
+
+    monkeypatch.setattr(links, "ONE_TASK_EDGES", most)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     nodes = spark.createDataFrame([(i,) for i in [*range(41), 100, 101, 500]], "node long")
     roots = {r.node: r.root for r in components(nodes, spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -248,6 +252,19 @@ def test_match_records(spark):
     assert match_records(records(spark, ROWS), right.filter("false"), "cand_id", "feed_id").count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_weak_pairs_are_lifted_by_their_neighbours(spark, monkeypatch, most):
+    """Rounds in one task and over tables give the same."""
+    from folioscan.llm import linkage, links
+    from folioscan.lineage import cut
+
+    monkeypatch.setattr(links, "ONE_TASK_EDGES", most)
+    edges = [(1, 2, 0.45), (1, 3, 0.9), (2, 3, 0.45), (4, 5, 0.45), (6, 7, 0.8), (8, 9, 0.3), (8, 10, 0.3), (9, 10, 0.3)]
+    got = {(r.a, r.b): round(r.confidence, 3) for r in linkage.refined(cut(spark.createDataFrame(edges, "a long, b long, confidence double"), "scored")).collect()}
+    assert got.keys() == {(1, 2), (1, 3), (2, 3), (6, 7)} and got[1, 3] == 0.9
+    assert 0.55 < got[1, 2] == got[2, 3] < 0.7
+
+
 def test_match_common_titles_and_words(spark):
     """More than 400 pairs of one title and author, and only common words beside a damaged beginning."""
     left = [(i, None, None, "Editorial", ["C. Vumeral"], f"{1900 + i}-05-02") for i in range(71, 171)]
