@@ -182,7 +182,7 @@ def link_names(names: DataFrame, name_col: str, nicknames: DataFrame | None = No
     for c in ("family", "given"):
         read = read.withColumn(c, F.when(F.col("turn"), F.col(f"{c}2")).otherwise(F.col(c)))
     if nicknames is not None:
-        folded = F.udf(lambda x: None if x is None else _letters(fold(x)))
+        folded = F.pandas_udf(lambda x: x.map(lambda v: _letters(fold(v)), na_action="ignore"), "string")
         nick = nicknames.select(folded("nick").alias("given"), folded("given").alias("_full")).filter("given <> '' and _full <> ''")
         nick = nick.groupBy("given").agg(F.min("_full").alias("_full"), F.countDistinct("_full").alias("_n")).filter("_n = 1").drop("_n")
         read = read.join(nick, "given", "left").withColumn("given", F.when(F.col("kind") == "p", F.coalesce("_full", "given")).otherwise(F.col("given"))).drop("_full")

@@ -15,6 +15,8 @@ from ..lineage import cut
 OPEN_WINDOWS = 256
 #: Size that a bucket of the first round is to hold, in units of capacity.
 BUCKET_CONTAINERS = 4_000
+#: Rows of a bucket, at most on average.
+BUCKET_ROWS = 2_000_000
 #: Buckets whose leftovers are merged into one bucket of the next round.
 FAN_IN = 16
 
@@ -122,9 +124,10 @@ def pack(sizes: DataFrame, capacity: int = 2048, id_col: str = "doc_id", size_co
             id_col, F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).cast("long").alias("token_start"),
             F.least(F.col("size") - F.col("piece") * capacity, F.lit(capacity)).cast("long").alias("n_tokens"),
         ), "pieces")
-    total = pieces.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    buckets = max(1, round(total / capacity / BUCKET_CONTAINERS))
-    spread = F.xxhash64(F.col(id_col), F.col("piece"))
+    total, rows = pieces.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    # rows without tokens take no room, but a task
+    buckets = max(1, round(total / capacity / BUCKET_CONTAINERS), -(-rows // BUCKET_ROWS))
+    spread = F.when(F.col(id_col).isNull(), F.xxhash64("n_tokens", "piece")).otherwise(F.xxhash64(F.col(id_col), F.col("piece")))
     now = pieces.withColumns({"bucket": F.pmod(spread, F.lit(buckets)), "rank": spread})
     done: list[DataFrame] = []
     number = 0
