@@ -116,12 +116,14 @@ def same_works(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = alike.filter("not stock").select("id", "own_title", F.explode("fs").alias("f")).select(F.xxhash64(F.lit("author"), "own_title", "f").alias("key"), "id")
     for c in ("doi", "identifier"):
         keys = keys.unionByName(marks.filter(f"{c} is not null").select(F.xxhash64(F.lit(c), c).alias("key"), "id"))
-    sure = star(cut(keys, "keys"), "key")
+    sure = star(written := cut(keys, "keys"), "key")
     cells = word_cells(told, counts).unionByName(title_cells(alike))
-    pairs = cut(pairs_of_cells(cells, told, counts), "pairs")
+    pairs = pairs_of_cells(cells, told, counts)
+    drop(alike, again)
     scored = cut(judged(pairs, told, pairs.count()).filter(f"confidence >= {WEAK}"), "scored")
     edges = refined(scored).unionByName(sure.select("a", "b", F.lit(0.9).alias("confidence")))
     edges = cut(edges, "edges")
+    drop(pairs, scored, written)
     joined = edges.select("a", "b").unionByName(copies.select(F.col("first").alias("a"), F.col("id").alias("b")))
     return components(marks.select("id").distinct(), joined, "id"), edges
 

@@ -102,19 +102,21 @@ def describe(title: str | None, authors, venue: str | None = None) -> tuple:
     is about another work, its part, its numbers), ``title`` one of the words in any order and the kind.
     """
     text = title or ""
-    text = _BEFORE.sub("", plain(_TAG.sub(" ", text) if "<" in text else text))
+    text = plain(_TAG.sub(" ", text) if "<" in text else text)
+    if m := _BEFORE.match(text):
+        text = text[m.end() :]
     about = m[1] if (m := _ABOUT.match(text)) else ""
-    part = m[1] if (m := _PART.search(text)) else ""
+    part = m[1] if ("part" in text or "pt" in text or "teil" in text) and (m := _PART.search(text)) else ""
     if part:
         text = _PART.sub(" ", text)
     text = text.replace("&", " and ")
     words = _WORD.findall(text)
     content = list(dict.fromkeys(w for w in words if w not in _LITTLE))
     stock = len(content) < 2 or " ".join(words) in _STOCK
-    numbers = " ".join(sorted(w for w in words if w.isdigit()))
+    numbers = " ".join(sorted(filter(str.isdigit, words)))
     kind = hashed(f"{about}\x1f{part}\x1f{numbers}")
-    own = " ".join(sorted(w for w in words if w != "and"))
-    first = len({w for w in _WORD.findall(text[: m.start()]) if w not in _LITTLE}) if (m := _SEGMENT.search(text)) else 0
+    own = " ".join(sorted(words)).replace(" and ", " ")
+    first = len(set(_WORD.findall(text[: m.start()])) - _LITTLE) if (m := _SEGMENT.search(text)) else 0
     people = families(authors)
     single = list(dict.fromkeys(w for f in people for w in f.split()))
     return (
