@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..lineage import cut
+from ..lineage import cut, drop
 
 #: Bound of the sample that centroids are fitted on, and of their number.
 SAMPLE_ROWS, MOST_LISTS = 65_536, 16_384
@@ -227,6 +227,8 @@ def nearest_neighbours(
     by_id = Window.partitionBy("key").orderBy("id")
     first = rows.withColumn("_n", F.row_number().over(by_id)).filter(F.col("_n") <= k + 1)
     classes = cut(first.groupBy("key").agg(F.any_value("vec").alias("vec"), F.array_sort(F.array_distinct(F.collect_list("id"))).alias("ids")), "classes")
+    with_vectors, rows = rows, cut(rows.select("key", "id"), "members")
+    drop(with_vectors)
     count = classes.count()
     out = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("neighbour_id", T.LongType()), T.StructField("similarity", T.DoubleType())])
     if not count:
