@@ -394,7 +394,8 @@ def watch_flagship(s, d):
     held, _ = pipeline.build_profile(items.select("item_id", "title", "abstract", "creators", "tags", "publication_title"), "item_id", "publication_title", as_of())
     similarity = pipeline.similarity_of(works, held, "cand_id", vectors.HASHED_SIZE)
     ranked = pipeline.watch(works, items, similarity, "cand_id", table(s, d, "venues"), "venue_id", SCORING, as_of(), days=400, n=50)
-    return ranked.select("cand_id", "source", "title", F.round("score", 6).alias("score"), "label")
+    safe = F.when(F.isnan("score"), "nan").when(F.col("score") == float("inf"), "inf").otherwise(F.format_string("%.4f", "score"))
+    return ranked.select("cand_id", "source", "title", safe.alias("score"), "label")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -163,7 +163,7 @@ ORACLE["anti_library_title"] = f"""WITH w AS MATERIALIZED (SELECT cand_id, {titl
  {_sets("cs", "SELECT title FROM w")}, {_sets("ls", _LIBRARY_TITLES)}, {_alike("near", "cs", "ls", "TRUE")}
  SELECT cand_id FROM w WHERE title NOT IN (SELECT a FROM near)"""
 
-ORACLE["greedy_dedupe"] = f"""WITH RECURSIVE lib AS MATERIALIZED (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY item_key ORDER BY item_id DESC) = 1),
+_DEDUPED = f"""WITH RECURSIVE lib AS MATERIALIZED (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY item_key ORDER BY item_id DESC) = 1),
  w AS MATERIALIZED (SELECT cand_id, nullif({ident('doi')}, '') AS doi, {ident('identifier')} AS k, {title('title')} AS title FROM candidates),
  fresh0 AS MATERIALIZED (SELECT * FROM w WHERE (doi IS NULL OR doi NOT IN (SELECT {ident('doi')} FROM lib WHERE {ident('doi')} <> ''))
   AND k NOT IN (SELECT {ident('url')} FROM lib WHERE url IS NOT NULL AND url <> '')),
@@ -176,5 +176,30 @@ ORACLE["greedy_dedupe"] = f"""WITH RECURSIVE lib AS MATERIALIZED (SELECT * FROM
   UNION SELECT DISTINCT y.i, x.i FROM either_way JOIN fresh x ON x.title = either_way.a JOIN fresh y ON y.title = either_way.b WHERE x.i < y.i),
  earlier AS MATERIALIZED (SELECT fresh.i, coalesce(list(o) FILTER (o IS NOT NULL), []) AS os FROM fresh LEFT JOIN meets ON meets.i = fresh.i GROUP BY fresh.i),
  walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
-  SELECT earlier.i, CASE WHEN list_has_any(walk.kept, earlier.os) THEN walk.kept ELSE list_append(walk.kept, earlier.i) END FROM walk JOIN earlier ON earlier.i = walk.i + 1)
- SELECT cand_id FROM fresh WHERE i IN (SELECT unnest(kept) FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1))"""
+  SELECT earlier.i, CASE WHEN list_has_any(walk.kept, earlier.os) THEN walk.kept ELSE list_append(walk.kept, earlier.i) END FROM walk JOIN earlier ON earlier.i = walk.i + 1),
+ kept_works AS MATERIALIZED (SELECT cand_id FROM fresh WHERE i IN (SELECT unnest(kept) FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)))"""
+ORACLE["greedy_dedupe"] = f"{_DEDUPED} SELECT cand_id FROM kept_works"
+
+
+def _counted(name: str, key: str, rows: str) -> str:
+    """CTE: (key, place, value) of the offline encoder's vectors of length one, without zeros; ``rows`` has key and content."""
+    words = f"list_filter(regexp_split_to_array(lower(coalesce(content, '')), '{WS}+'), lambda w: w <> '')"
+    return f"""{name} AS MATERIALIZED (SELECT {key}, place, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS value FROM
+ (SELECT {key}, substr(md5(word), 3, 2) AS place, count(*)::DOUBLE AS n FROM (SELECT {key}, unnest({words}) AS word FROM ({rows})) GROUP BY 1, 2))"""
+
+
+_SIMILAR = "coalesce(similarity, 0.0)"
+_FLAG_SCORE = ORACLE["score_label"].replace("(cand_id % 101) / 101.0::DOUBLE", _SIMILAR)
+_FLAG_ROWS = _FLAG_SCORE[_FLAG_SCORE.index("(SELECT c.*") :].rstrip()[1:-1].replace("FROM candidates c", "FROM (SELECT x.*, similarity FROM candidates x JOIN kept_works USING (cand_id) LEFT JOIN nearest USING (cand_id)) c")
+ORACLE["watch_flagship"] = f"""{_DEDUPED},
+ {_counted("cv", "cand_id", ORACLE["embedding_text_candidate"])},
+ {_counted("lv", "item_id", ORACLE["embedding_text_library"].replace("FROM items", "FROM lib"))},
+ nearest AS MATERIALIZED (SELECT cand_id, max(s) AS similarity FROM (SELECT cand_id, item_id, sum(cv.value * lv.value) AS s FROM cv JOIN lv USING (place) GROUP BY 1, 2) GROUP BY 1),
+ scored AS MATERIALIZED ({_FLAG_ROWS}),
+ ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY CASE WHEN isnan(score) THEN NULL ELSE score END DESC NULLS LAST, cand_id) AS i, CASE WHEN lower(source) IN ('arxiv', 'biorxiv', 'medrxiv') THEN 1 ELSE 0 END AS p
+  FROM scored WHERE published >= {AS_OF} - INTERVAL 400 DAY),
+ quota AS (SELECT 0::BIGINT AS i, 0 AS kp, 0 AS kt, false AS keep
+  UNION ALL SELECT r.i, kp + CASE WHEN p = 1 AND (kp + 1) * 10 <= (kt + 1) * 3 THEN 1 ELSE 0 END, kt + CASE WHEN p = 0 OR (kp + 1) * 10 <= (kt + 1) * 3 THEN 1 ELSE 0 END, p = 0 OR (kp + 1) * 10 <= (kt + 1) * 3 FROM quota g JOIN ranked r ON r.i = g.i + 1)
+ SELECT cand_id, source, title, CASE WHEN isnan(score) THEN 'nan' WHEN isinf(score) THEN 'inf' ELSE printf('%.4f', score) END AS score,
+  CASE WHEN isnan(score) THEN 'ignore' WHEN score >= 0.75 THEN 'must_read' WHEN score >= 0.5 THEN 'consider' ELSE 'ignore' END AS label
+ FROM ranked JOIN quota USING (i) WHERE keep ORDER BY i LIMIT 50"""
