@@ -238,7 +238,7 @@ def _of_shards(distinct: DataFrame, entries: DataFrame, number: int) -> DataFram
     known = title.mapInArrow(words(lambda t: read(t).words), "value string, word string").select("word").distinct()
     typed = distinct.unionByName(title).distinct().mapInArrow(words(tokens), "value string, word string").join(known, "word").groupBy("value").agg(F.collect_set("word").alias("known"))
     left = entries.withColumnRenamed("title", "value").select(F.pmod(F.xxhash64("value"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("asks"), "id", "value")
-    right = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"), F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("asks"), F.lit(None).cast("long").alias("id"), "value")
+    right = distinct.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("asks"), F.lit(None).cast("long").alias("id"), "value")
     rows = left.unionByName(right).join(cut(typed, "known"), "value", "left").select("shard", "salt", "asks", "id", "value", "known")
 
     def stream(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
