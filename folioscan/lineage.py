@@ -16,17 +16,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+#: The temporary folder of an application whose session names no shared one.
+_temporary: dict[str, str | None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; where it is unset a temporary folder, but on one machine only."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and (named := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        found = named.get()
     if not found:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="folioscan-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _temporary.setdefault(spark.sparkContext.applicationId, None) or "file://" + tempfile.mkdtemp(prefix="folioscan-")
+        _temporary[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
