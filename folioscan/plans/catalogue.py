@@ -79,6 +79,15 @@ def clean_abstract(s, d):
     return candidates(s, d, "cand_id", "abstract").select("cand_id", text.clean_abstract("abstract").alias("abstract"))
 
 
+@query
+def inverted_abstract(s, d):
+    """Titles as an index of words and their places, and back."""
+    words = candidates(s, d, "cand_id", "title").select("cand_id", F.filter(F.split(F.coalesce("title", F.lit("")), " "), lambda w: w != "").alias("ws"))
+    places = lambda w: F.filter(F.sequence(F.lit(0), F.size("ws")), lambda i: F.get("ws", i) == w)
+    index = F.map_from_entries(F.transform(F.array_distinct("ws"), lambda w: F.struct(w, places(w))))
+    return words.select("cand_id", text.inverted_abstract(index).alias("abstract"))
+
+
 @query
 def numeric_metrics(s, d):
     told = table(s, d, "events", "event_id", "props").select("event_id", values.numeric_only(F.from_json("props", "map<string,string>")).alias("m"))
@@ -347,6 +356,25 @@ def upsert_latest(s, d):
     return lib.upsert(items.filter("false"), items, "item_key", ["item_id"])
 
 
+@query
+def upsert_keeps(s, d):
+    """The first delivery of each key is the library, the later ones are synced: updates keep the vector, and what isn't synced stays."""
+    items = table(s, d, "items", "item_id", "item_key", "item_version", "title", "embedding")
+    first = items.groupBy("item_key").agg(F.min("item_id").alias("item_id"))
+    old, new = items.join(first, ["item_key", "item_id"], "left_semi"), items.join(first, ["item_key", "item_id"], "left_anti")
+    told = lib.upsert(old.select(items.columns), new.select(items.columns), "item_key", ["item_id"], keep=("embedding",))
+    return told.select("item_id", "item_key", "item_version", "title", F.size("embedding").cast("long").alias("dim"))
+
+
+@query
+def set_vectors(s, d):
+    """Vectors that another delivery of a key has go to deliveries without one."""
+    items = table(s, d, "items", "item_id", "item_key", "embedding")
+    held = lib.latest(items.filter(F.size("embedding") == DIM), "item_key", "item_id").select("item_key", "embedding")
+    told = lib.with_vectors(items.filter("embedding is null"), held, "item_key")
+    return told.select("item_id", F.size("embedding").cast("long").alias("dim"))
+
+
 @query
 def items_without_vector(s, d):
     return lib.without_vector(table(s, d, "items", "item_id", "updated_at", "embedding")).select("item_id")

@@ -203,3 +203,9 @@ ORACLE["watch_flagship"] = f"""{_DEDUPED},
  SELECT cand_id, source, title, CASE WHEN isnan(score) THEN 'nan' WHEN isinf(score) THEN 'inf' ELSE printf('%.4f', score) END AS score,
   CASE WHEN isnan(score) THEN 'ignore' WHEN score >= 0.75 THEN 'must_read' WHEN score >= 0.5 THEN 'consider' ELSE 'ignore' END AS label
  FROM ranked JOIN quota USING (i) WHERE keep ORDER BY i LIMIT 50"""
+
+ORACLE["inverted_abstract"] = f"SELECT cand_id, nullif({strip("array_to_string(list_filter(string_split(coalesce(title, ''), ' '), lambda w: w <> ''), ' ')")}, '') AS abstract FROM candidates"
+ORACLE["upsert_keeps"] = """WITH f AS (SELECT item_key, min(item_id) AS first, max(item_id) AS last FROM items GROUP BY 1)
+ SELECT l.item_id, l.item_key, l.item_version, l.title, CAST(len(o.embedding) AS BIGINT) AS dim FROM f JOIN items l ON l.item_id = f.last JOIN items o ON o.item_id = f.first"""
+ORACLE["set_vectors"] = """WITH v AS (SELECT item_key, CAST(len(embedding) AS BIGINT) AS dim FROM items WHERE len(embedding) = 64 QUALIFY row_number() OVER (PARTITION BY item_key ORDER BY item_id DESC) = 1)
+ SELECT item_id, v.dim FROM items LEFT JOIN v USING (item_key) WHERE embedding IS NULL"""

@@ -84,3 +84,6 @@ def test_streaming_ingest(spark, tmp_path):
     land(tmp_path / "landed", "2.json", [{"key": "A", "version": 2, "data": {"title": "new"}}])
     ingest_library(spark, landed, store, str(tmp_path / "cp"))
     assert {r.key: r.title for r in store.items().collect()} == {"A": "new", "B": "two"}
+    land(tmp_path / "landed", "3.json", [{"key": "C", "version": 5, "data": {"title": "three"}}])
+    ingest_library(spark, landed, store, str(tmp_path / "cp"), feeds.tombstones(spark, land(tmp_path / "gone", "d.json", {"items": ["B", "unknown"]})))
+    assert {r.key: r.title for r in store.items().collect()} == {"A": "new", "C": "three"}
