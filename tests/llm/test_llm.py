@@ -142,6 +142,19 @@ def test_link_names(spark):
     assert link_names(df.filter("false"), "name", nick).count() == 0
 
 
+def exchanges(df):
+    """How often a plan moves rows; each takes a thread of the driver."""
+    return sum("Exchange" in line for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_pairs_of_names_have_a_small_plan(spark):
+    """The groups are read twice: what they are made of must not be planned and run with the pairs."""
+    df = spark.createDataFrame([("Anna Kowalski",), ("A. Kowalski",), ("A. Kowalsky",), ("B. Someone",)], "name string")
+    pairs = name_pairs(link_names(df, "name", spark.createDataFrame([("Nan", "Anna")], "nick string, given string")), "name")
+    assert exchanges(pairs) <= 6
+    assert {tuple(r) for r in pairs.collect()} == {("A. Kowalski", "A. Kowalsky"), ("A. Kowalski", "Anna Kowalski"), ("A. Kowalsky", "Anna Kowalski")}
+
+
 def test_segment_join_finds_all(spark):
     rng = random.Random(5)
     words = sorted({word(rng, "abc", 8) for _ in range(250)})
