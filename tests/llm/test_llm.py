@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folioscan.llm import bpe, spans
 from folioscan.llm.canonical import map_to_canonical
 from folioscan.llm.edits import BKTree, codes, levenshtein_to, typos
-from folioscan.llm.history import repeats
+from folioscan.llm.history import History, repeats
 from folioscan.llm.linkage import match_records
 from folioscan.llm.links import components, within_one_edit
 from folioscan.llm.names import link_names, name_pairs, parse
@@ -155,6 +155,16 @@ def test_pairs_of_names_have_a_small_plan(spark):
     assert {tuple(r) for r in pairs.collect()} == {("A. Kowalski", "A. Kowalsky"), ("A. Kowalski", "Anna Kowalski"), ("A. Kowalsky", "Anna Kowalski")}
 
 
+def test_accepting_has_small_plans(spark, monkeypatch):
+    """What a batch repeats is found once, not once for each of the tables that make up its cells."""
+    seen, append = [], History._append
+    monkeypatch.setattr(History, "_append", lambda self, df, name: seen.append((name, exchanges(df))) or append(self, df, name))
+    rows = [(i, i // 3, f"10.1/{i}", "u", f"deep learning for protein folding {i % 4}", ["A B"], "2020-01-01") for i in range(9)]
+    df = spark.createDataFrame(rows, "cand_id long, batch_no long, doi string, identifier string, title string, authors array<string>, published string")
+    assert repeats(df, "cand_id", "batch_no", share=0).count() == 8
+    assert len(seen) == 12 and max(n for name, n in seen if name == "cells") <= 14
+
+
 def test_segment_join_finds_all(spark):
     rng = random.Random(5)
     words = sorted({word(rng, "abc", 8) for _ in range(250)})
