@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.llm import bpe, spans
+from folioscan.llm import bpe, cells, spans, works
 from folioscan.llm.canonical import map_to_canonical
 from folioscan.llm.edits import BKTree, codes, levenshtein_to, typos
 from folioscan.llm.history import History, repeats
@@ -155,6 +155,22 @@ def test_pairs_of_names_have_a_small_plan(spark):
     assert {tuple(r) for r in pairs.collect()} == {("A. Kowalski", "A. Kowalsky"), ("A. Kowalski", "Anna Kowalski"), ("A. Kowalsky", "Anna Kowalski")}
 
 
+def test_family_names_are_told_once(monkeypatch):
+    """A name's hashes are kept: most of the time over records goes into names seen before."""
+    calls, ends = [], works.ends
+    monkeypatch.setattr(works, "ends", lambda w: calls.append(w) or ends(w))
+    one, two = (works.describe("deep learning for protein folding", ["Zoë Quibblewick", "Ada M. Quibblewick"]) for _ in range(2))
+    assert one == two and sorted(calls) == ["quibblewick", "quibblewick", "zoe"]
+    assert len(one[8]) == len(set(one[8])) == 2 and len(one[9]) == len(set(one[9])) == 3
+
+
+def test_first_of_each_pair():
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(-3, 3, 200), rng.integers(-(2**62), 2**62, 5)[rng.integers(0, 5, 200)]
+    assert cells._once(x, y).tolist() == np.unique(np.stack([x, y], axis=1), axis=0, return_index=True)[1].tolist()
+    assert cells._once(x[:0], y[:0]).tolist() == []
+
+
 def test_accepting_has_small_plans(spark, monkeypatch):
     """What a batch repeats is found once, not once for each of the tables that make up its cells."""
     seen, append = [], History._append
