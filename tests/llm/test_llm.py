@@ -164,6 +164,40 @@ def test_family_names_are_told_once(monkeypatch):
     assert len(one[8]) == len(set(one[8])) == 2 and len(one[9]) == len(set(one[9])) == 3
 
 
+def test_usual_names_are_read_quickly(monkeypatch):
+    """Usual forms of a name aren't parsed, with the same family name as if they were."""
+    usual = [
+        "Anna Lorukel", "Anna M. Lorukel", "anna lorukel", "ANNA LORUKEL", "Seo-yeon Lorukel", "Zoë  ØRSTED", "Dr. Anna Lorukel", "A. Lorukel", "A M Lorukel-Kim", "Lorukel, Anna", "Lorukel, A. M.",
+        "LØRUKEL, Anna M.", "Lorukel A", "Lorukel Anna M.", "Lorukel-Kim A.", "Straße, Zoë",
+    ]
+    unusual = ["Lorukel, Jr.", "Þ Lorukel", "Lorukel Survey", "Unknown, A.", "Anna van Lorukel", "Anna Editor", "and others", "Dr. Lab Staff", "Lorukel, Dr", "Prof. Lorukel A."]
+    calls, parse = [], works.parse
+    monkeypatch.setattr(works, "parse", lambda n: calls.append(n) or parse(n))
+    works._family.cache_clear()
+    got = {n: works._family(n) for n in usual}
+    assert calls == []
+    for n, family in (got | {n: works._family(n) for n in unusual}).items():
+        r = parse(n)
+        assert family == (r and (r[2] if r[1] else f"{min(r[2], r[6])} {max(r[2], r[6])}")), n
+
+
+def test_slips_are_those_of_the_distance():
+    rng = random.Random(2)
+    for _ in range(3000):
+        a, b = word(rng, "abcé1", 9), word(rng, "abcé1", 9)
+        n = min(len(a), len(b))
+        assert works._slip(a, b) == (n > 2 and not a.isdigit() and not b.isdigit() and swaps(a, b) <= (1 if n < 6 else 2))
+
+
+def test_matching_reads_its_tables_once(spark, tmp_path):
+    """Whose ids they are is kept with them; the tables aren't read again for it."""
+    for name, first in (("left", 0), ("right", 100)):
+        records(spark, [(first + i, None, None, t, ["Anna Lorukel"], "2023-01-05") for i, t in enumerate(["Testing polar models of drainage", "Other notes on the layers"])]).write.parquet(f"{tmp_path}/{name}")
+    got = match_records(spark.read.parquet(f"{tmp_path}/left"), spark.read.parquet(f"{tmp_path}/right"), "cand_id", "cand_id").toDF("a", "b", "confidence")
+    assert not [f for f in got.inputFiles() if str(tmp_path / "left") in f or str(tmp_path / "right") in f]
+    assert {(r.a, r.b) for r in got.collect()} == {(0, 100), (1, 101)}
+
+
 def test_first_of_each_pair():
     rng = np.random.default_rng(3)
     x, y = rng.integers(-3, 3, 200), rng.integers(-(2**62), 2**62, 5)[rng.integers(0, 5, 200)]
